@@ -97,7 +97,7 @@ def caps_word_count(c) -> Column:
     """whitespace words longer than one character that are upper case
     and contain at least one cased character (Python ``isupper``)."""
     return F.size(F.filter(tokenize_ws(c),
-                           lambda w: (F.length(w) > 1) & (w == F.upper(w)) & (w != F.lower(w))))
+                           lambda w: (F.length(w) > 1) & (w != F.lower(w)) & (w == F.upper(w))))
 
 
 def response_parse(c) -> Column:

@@ -111,8 +111,12 @@ def num_clusters_rule(df: DataFrame, col: str = "keyword") -> DataFrame:
 def kmeans_fit(points: DataFrame, k: int, seed: int = 0, key: str = "id", vec: str = "vec", max_iter: int = 20):
     """M1: Spark ML k-means (k-means|| init) on an array column. Returns the
     model, its centroid table (cluster, cvec) and the assignments (key, cluster)."""
+    feats = points.select(key, array_to_vector(F.col(vec)).alias("features")).persist()  # iterative: scan once
+    try:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(feats)
+    finally:
+        feats.unpersist()
     feats = points.select(key, array_to_vector(F.col(vec)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(feats)
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cdf = points.sparkSession.createDataFrame(centers, "cluster INT, cvec ARRAY<DOUBLE>")
     assigned = model.transform(feats).select(key, F.col("cluster").cast("int").alias("cluster"))

@@ -33,6 +33,14 @@ SELECT run, id, score, CAST(score > 0.5 AS INT) AS target FROM (
  FROM labels l CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(r)) s
 """
 
+# Same rows as PREDS, with the five run numbers exploded instead of cross-joined.
+PREDS_SPARK = """
+SELECT run, id, score, CAST(score > 0.5 AS INT) AS target FROM (
+ SELECT concat('run', CAST(v.r AS STRING)) AS run, l.doc_id AS id,
+  CAST(0.45 AS DOUBLE) * l.quality + CAST(0.55 AS DOUBLE) * (CAST((l.doc_id * 7919 + v.r * 104729) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE)) AS score
+ FROM labels l LATERAL VIEW explode(array(0, 1, 2, 3, 4)) v AS r) s
+"""
+
 RUN_WEIGHTS = """
 SELECT concat('run', CAST(v.r AS STRING)) AS run, CASE WHEN v.r = 3 THEN 2 ELSE 1 END AS w
 FROM (VALUES (0), (1), (2), (3), (4)) AS v(r)
@@ -76,10 +84,10 @@ JOIN embeddings e ON e.vec_id = t.r
 """
 
 SPARK_VIEWS = {
-    "tw": TW, "preds": PREDS, "run_weights": RUN_WEIGHTS, "runlog": RUNLOG, "replies": REPLIES,
+    "tw": TW, "preds": PREDS_SPARK, "run_weights": RUN_WEIGHTS, "runlog": RUNLOG, "replies": REPLIES,
     "centroids": CENTROIDS, "points": POINTS, "hidden": HIDDEN, "word_vectors": WORD_VECTORS_SPARK,
 }
-DUCKDB_VIEWS = dict(SPARK_VIEWS, word_vectors=WORD_VECTORS_DUCKDB)
+DUCKDB_VIEWS = dict(SPARK_VIEWS, preds=PREDS, word_vectors=WORD_VECTORS_DUCKDB)
 # Oracle CTE order (a view may only use earlier ones or base tables).
 VIEW_ORDER = ["tw", "preds", "run_weights", "runlog", "replies", "centroids", "points", "hidden", "word_vectors"]
 

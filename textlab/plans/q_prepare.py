@@ -153,7 +153,7 @@ SELECT g.id, g.pos, CASE WHEN tk.tok IS NULL THEN 0 ELSE coalesce(voc.idx, 1) EN
 FROM g LEFT JOIN tk ON g.id = tk.id AND g.pos = tk.pos LEFT JOIN voc ON tk.tok = voc.tok""", ["tw"])
 def q_vocab_encode(spark, sf):
     voc = V.build_vocab(train_part(spark, sf), "text", 5000)
-    enc = V.vocab_encode(view(spark, sf, "tw"), voc, "id", "text", 128)
+    enc = V.vocab_encode(view(spark, sf, "tw"), voc, "id", "text", 128, vocab_rows=5000)
     return enc.select("id", F.posexplode("input_ids").alias("pos", "idx"))
 
 
@@ -165,7 +165,7 @@ SELECT idx, d AS dim, CASE WHEN vec IS NULL THEN -0.25 + 0.5 * {u_duck('0', 'idx
           ["tw", "word_vectors"])
 def q_vocab_vectors(spark, sf):
     voc = V.build_vocab(train_part(spark, sf), "text", 5000)
-    vv = V.vocab_vectors(voc, view(spark, sf, "word_vectors"), DIM, seed=0)
+    vv = V.vocab_vectors(voc, view(spark, sf, "word_vectors"), DIM, seed=0, vocab_rows=5000)
     return vv.select("idx", F.posexplode("vec").alias("dim", "value"))
 
 

@@ -188,8 +188,9 @@ def test_vocab_encode_edges(spark):
 def test_bow_mean_and_masked_pool(spark):
     wv = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "tok STRING, vec ARRAY<FLOAT>")
     d = spark.createDataFrame([(1, "a a b zz"), (2, "zz"), (3, "")], "id INT, text STRING")
-    got = {r.id: r.vec for r in V.bow_mean_vector(d, wv, 2).collect()}
-    assert got[1] == pytest.approx([2 / 3, 2 / 3]) and got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
+    for how in (None, True, False):  # size-checked default, broadcast path, shuffle-join path
+        got = {r.id: r.vec for r in V.bow_mean_vector(d, wv, 2, broadcast_vectors=how).collect()}
+        assert got[1] == pytest.approx([2 / 3, 2 / 3]) and got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
     h = spark.createDataFrame([(1, 0, 1, [1.0, 1.0]), (1, 1, 1, [3.0, 5.0]), (1, 2, 0, [9.0, 9.0]),
                                (2, 0, 0, [1.0, 1.0])], "id INT, pos INT, mask INT, vec ARRAY<FLOAT>")
     got = {r.id: r.vec for r in V.masked_mean_pool(h).collect()}

@@ -34,14 +34,24 @@ def _exact_rank(q: np.ndarray, cand_vecs: np.ndarray, cand_ids: np.ndarray):
     return order, d2
 
 
+def _exact_rank_rows(x: np.ndarray, cand: np.ndarray, mat: np.ndarray, ids: np.ndarray):
+    """Vectorised re-rank: for every row i the candidate columns cand[i] of
+    ``mat`` ordered by (exact squared distance, id). Returns (order, d2)."""
+    diff = mat[cand] - x[:, None, :]
+    d2 = np.einsum("ijk,ijk->ij", diff, diff)
+    order = np.lexsort((ids[cand], d2), axis=-1)
+    return order, np.take_along_axis(d2, order, axis=1)
+
+
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", vec: str = "vec",
                      cluster: str = "cluster", cvec: str = "cvec", out: str = "cluster") -> DataFrame:
     """Each vector's closest centroid (ties -> smaller cluster id).
 
     The centroid table is small by nature (k x dim, checked against
     MAX_CENTROID_VALUES) and is broadcast as one numpy matrix; points are
-    scored per Arrow batch with one matrix product, and only the few best
-    candidates per row are re-checked with exact differences. No shuffle."""
+    scored per Arrow batch with one matrix product; only rows with another
+    centre within rounding distance of the best are re-checked with exact
+    differences. No shuffle."""
     k = centroids.count()
     dim = len(centroids.select(cvec).first()[0]) if k else 0
     if k * dim > MAX_CENTROID_VALUES:
@@ -50,7 +60,6 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", v
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     cmat = np.array([r[1] for r in rows], dtype=np.float64)
     bc = points.sparkSession.sparkContext.broadcast((ids, cmat))
-    ncand = min(4, len(ids))
 
     def assign(batches):
         cids, c = bc.value
@@ -60,11 +69,13 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", v
             best = np.empty(len(pdf), dtype=np.int64)
             if len(pdf):
                 d2 = np.einsum("ij,ij->i", x, x)[:, None] - 2.0 * (x @ c.T) + cn[None, :]
-                cand = np.argpartition(d2, ncand - 1, axis=1)[:, :ncand] if ncand < len(cids) else \
-                    np.tile(np.arange(len(cids)), (len(pdf), 1))
-                for i in range(len(pdf)):
-                    order, _ = _exact_rank(x[i], c[cand[i]], cids[cand[i]])
-                    best[i] = cids[cand[i][order[0]]]
+                tol = 1e-9 * (1.0 + np.abs(d2).max())
+                near = d2 <= (d2.min(axis=1) + tol)[:, None]   # every centre that could be the closest
+                best = cids[np.argmin(d2, axis=1)]
+                for i in np.nonzero(near.sum(axis=1) > 1)[0]:  # near-ties: exact distances, then smaller id
+                    cand = np.nonzero(near[i])[0]
+                    order, _ = _exact_rank(x[i], c[cand], cids[cand])
+                    best[i] = cids[cand[order[0]]]
             yield pd.DataFrame({key: pdf[key].to_numpy(), out: best.astype(np.int32)})
 
     key_type = points.schema[key].dataType.simpleString()
@@ -175,20 +186,26 @@ def knn_neighbours(queries: DataFrame, base: DataFrame, k: int, key: str = "id",
         approx = np.einsum("ij,ij->i", qm, qm)[:, None] - 2.0 * (qm @ bm.T) + np.einsum("ij,ij->i", bm, bm)[None, :]
         tol = 1e-9 * (1.0 + np.abs(approx).max())
         kk = min(k, len(bpdf))
-        out_q, out_b, out_l, out_d = [], [], [], []
         qids = qpdf["qid"].to_numpy()
-        for i in range(len(qpdf)):
-            row = approx[i]
-            kth = np.partition(row, kk - 1)[kk - 1]
-            cand = np.nonzero(row <= kth + tol)[0]        # every row that could be in the exact top-k
+        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+        near = approx <= (kth + tol)[:, None]          # every column that could be in the exact top-k
+        n_near = near.sum(axis=1)
+        sel = np.empty((len(qpdf), kk), dtype=np.int64)
+        dist = np.empty((len(qpdf), kk))
+        easy = np.nonzero(n_near == kk)[0]              # no tie at the boundary: vectorised
+        if len(easy):
+            cand = np.argpartition(approx[easy], kk - 1, axis=1)[:, :kk] if kk < len(bpdf) else \
+                np.tile(np.arange(len(bpdf)), (len(easy), 1))
+            order, d2 = _exact_rank_rows(qm[easy], cand, bm, bids)
+            sel[easy] = np.take_along_axis(cand, order, axis=1)
+            dist[easy] = d2
+        for i in np.nonzero(n_near != kk)[0]:           # ties around the k-th distance: exact per row
+            cand = np.nonzero(near[i])[0]
             order, d2 = _exact_rank(qm[i], bm[cand], bids[cand])
-            sel = cand[order[:kk]]
-            out_q.append(np.full(kk, qids[i]))
-            out_b.append(bids[sel])
-            out_l.append(labels[sel])
-            out_d.append(d2[order[:kk]])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "bid": np.concatenate(out_b),
-                             "label": np.concatenate(out_l), "d2": np.concatenate(out_d)})
+            sel[i] = cand[order[:kk]]
+            dist[i] = d2[order[:kk]]
+        return pd.DataFrame({"qid": np.repeat(qids, kk), "bid": bids[sel].reshape(-1),
+                             "label": labels[sel].reshape(-1), "d2": dist.reshape(-1)})
 
     part = q.groupBy("qblk", "bblk").cogroup(b.groupBy("qblk", "bblk")).applyInPandas(block_topk, schema)
     w = Window.partitionBy("qid").orderBy(F.col("d2").asc(), F.col("bid").asc())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+MAX_SERIES = 100_000  # histogram edge tables (one row per series) broadcast below this
 
 
 def target_distribution(df: DataFrame, target: str = "target") -> DataFrame:
@@ -77,8 +78,9 @@ def histogram_equal_width(df: DataFrame, value: str | Column, bins: int, series:
     semantics: last bin closed on the right; min == max widens by 0.5 each
     side), empty bins included. Output (series, bin, lo, hi, n).
 
-    Per-series min/max come from one aggregate that is joined back on the
-    series key (one row per series); no global window over the data.
+    Per-series min/max come from one aggregate (its rows, under a counted
+    bound, are broadcast back) joined on the series key; no global window
+    over the data.
     """
     v = F.col(value) if isinstance(value, str) else value
     base = df.select((F.col(series) if series else F.lit("all")).alias("series"), v.cast("double").alias("x")) \
@@ -93,6 +95,13 @@ def histogram_equal_width(df: DataFrame, value: str | Column, bins: int, series:
     stats = stats.select("series",
                          F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
                          F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
+    # The per-series edges are a tiny table (one row per series). Under a
+    # counted bound they come back as literal rows and are broadcast, so a
+    # series holding most of the rows is never a shuffle hot spot; above it,
+    # the join stays a shuffle join (AQE splits skewed partitions).
+    edge_rows = stats.limit(MAX_SERIES + 1).collect()
+    if len(edge_rows) <= MAX_SERIES:
+        stats = F.broadcast(df.sparkSession.createDataFrame(edge_rows, stats.schema))
     idx = F.least(F.floor((F.col("x") - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     counts = (base.join(stats, "series")
               .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))

@@ -178,7 +178,8 @@ SELECT t.id, d.dim, coalesce(mv.value, 0.0) AS value FROM (SELECT id FROM tw) t
  CROSS JOIN (SELECT unnest(range(0, {DIM})) AS dim) d LEFT JOIN mv ON mv.id = t.id AND mv.dim = d.dim""",
           ["tw", "word_vectors"])
 def q_bow_mean_vector(spark, sf):
-    out = V.bow_mean_vector(view(spark, sf, "tw"), view(spark, sf, "word_vectors"), DIM)
+    # the word_vectors fixture holds at most 300 rows (its LIMIT): a proven bound, broadcast it
+    out = V.bow_mean_vector(view(spark, sf, "tw"), view(spark, sf, "word_vectors"), DIM, broadcast_vectors=True)
     return out.select("id", F.posexplode("vec").alias("dim", "value"))
 
 

@@ -18,7 +18,7 @@ def _canon(v):
     if v is None:
         return "null"
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0)
+        return "nan" if math.isnan(v) else repr(v)  # both sides rounded already: exact
     return str(v)
 
 

@@ -40,8 +40,9 @@ class Query:
             q = f'"{n}"'
             if t == "i":
                 cols.append(f"CAST({q} AS BIGINT) AS {q}")
-            elif t == "d":
-                cols.append(f"round(CAST({q} AS DOUBLE), 6) AS {q}")
+            elif t == "d":  # -0.0 after rounding is written as 0.0 on both sides
+                cols.append(f"CASE WHEN round(CAST({q} AS DOUBLE), 6) = 0 THEN CAST(0.0 AS DOUBLE) "
+                            f"ELSE round(CAST({q} AS DOUBLE), 6) END AS {q}")
             else:
                 cols.append(f"CAST({q} AS VARCHAR) AS {q}")
         inner = oracle_with(self.views, self.sql)
@@ -55,7 +56,8 @@ def normalize(df: DataFrame, columns) -> DataFrame:
         if t == "i":
             c = c.cast("bigint")
         elif t == "d":
-            c = F.round(c.cast("double"), 6)
+            r = F.round(c.cast("double"), 6)
+            c = F.when(r == 0, F.lit(0.0)).otherwise(r)
         else:
             c = c.cast("string")
         out.append(c.alias(n))

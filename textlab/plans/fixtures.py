@@ -10,6 +10,7 @@ the two dialects differ (``word_vectors``).
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,11 +97,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+VIEW_PREFIX = "__textlab_"  # private temp-view names: the caller's own views stay untouched
+
+
 def register_base(spark: SparkSession, sf_dir: str, names=None) -> None:
     for n in BASE_TABLES if names is None else names:
         p = os.path.join(sf_dir, f"{n}.parquet")
         if os.path.exists(p) or "://" in sf_dir:
-            spark.read.parquet(p).createOrReplaceTempView(n)
+            spark.read.parquet(p).createOrReplaceTempView(VIEW_PREFIX + n)
+
+
+def _private(sql: str, tables) -> str:
+    for t in tables:
+        sql = re.sub(rf"\b{t}\b", VIEW_PREFIX + t, sql)
+    return sql
 
 
 # Base tables each view reads.
@@ -113,7 +123,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view as a DataFrame (analysed at once, so later view
     replacement does not change it)."""
     register_base(spark, sf_dir, VIEW_TABLES[name])
-    return spark.sql(SPARK_VIEWS[name])
+    return spark.sql(_private(SPARK_VIEWS[name], VIEW_TABLES[name]))
 
 
 def oracle_with(names, body: str) -> str:

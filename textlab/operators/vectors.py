@@ -9,6 +9,7 @@ Distances are Euclidean. Ties are broken by a total order everywhere:
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -135,19 +136,23 @@ def kmeans_fit(points: DataFrame, k: int, seed: int = 0, key: str = "id", vec: s
 
 
 def cluster_count_sweep(points: DataFrame, k0: int, seed: int = 0, key: str = "id", vec: str = "vec",
-                        target: str = "target", max_iter: int = 20) -> DataFrame:
+                        target: str = "target", max_iter: int = 20, parallel_fits: int = 4) -> DataFrame:
     """M8: mean purity for k in range(k0 // 3, 3 * k0, k0 // 6) and the best k
     (first on ties). The vectors are cached once for all fits; each fit is a
     distributed Spark ML job and returns one scalar."""
     step = max(1, k0 // 6)
     ks = [k for k in range(k0 // 3, 3 * k0, step) if k >= 1]
     pts = points.select(key, vec, target).persist()
+
+    def one(k):
+        _, _, assigned = kmeans_fit(pts, k, seed, key, vec, max_iter)
+        return k, float(mean_purity(cluster_purity(assigned.join(pts.select(key, target), key))).first()[0])
+
     try:
-        res = []
-        for k in ks:
-            _, _, assigned = kmeans_fit(pts, k, seed, key, vec, max_iter)
-            mp = mean_purity(cluster_purity(assigned.join(pts.select(key, target), key))).first()[0]
-            res.append((k, float(mp)))
+        # independent fits: submitted from a few driver threads so their
+        # (small) jobs share the cluster instead of queueing one by one
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(ks)))) as ex:
+            res = list(ex.map(one, ks))
     finally:
         pts.unpersist()
     best = max(res, key=lambda r: (r[1], -r[0]))[0] if res else None

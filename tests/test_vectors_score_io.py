@@ -116,6 +116,8 @@ def test_seed_sweep_ensemble_runs(spark, pts):
     df, _, _ = pts
     out = SC.seed_sweep_ensemble(df.where("not is_query"), df.where("is_query"), n_runs=2, max_iter=5)
     assert out.count() == 75 and out.where("mean_score < 0 or mean_score > 1").count() == 0
+    zero = SC.seed_sweep_ensemble(df.where("not is_query"), df.where("is_query"), n_runs=0)
+    assert zero.count() == 75 and zero.where("target <> 0").count() == 0
 
 
 def test_csv_round_trip_hard_texts(spark):

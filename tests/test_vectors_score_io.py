@@ -101,7 +101,6 @@ def test_mlp_score_matches_numpy(spark, pts):
 
 def test_batch_score_batches(spark):
     d = spark.createDataFrame([(i, f"w{i % 3} x") for i in range(100)], "id LONG, text STRING")
-    sizes = []
 
     def predict(model, pdf):
         return pd.DataFrame({"id": pdf["id"], "n": len(pdf)})
@@ -109,7 +108,6 @@ def test_batch_score_batches(spark):
     out = SC.batch_score(d, ["id", "text"], lambda: object(), predict, "id long, n long", batch_size=8)
     got = [r.n for r in out.collect()]
     assert len(got) == 100 and max(got) <= 8
-    _ = sizes
 
 
 def test_seed_sweep_ensemble_runs(spark, pts):

@@ -40,12 +40,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-wide checkpoint folder; set a local one only if unset."""
+    """The cluster-wide checkpoint folder from the session. Only in local mode
+    with nothing set is a local folder created (tests)."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local"):
+                # a driver-local folder is invisible to executors on other machines
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
             d = tempfile.mkdtemp(prefix="textlab-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

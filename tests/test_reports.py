@@ -44,3 +44,16 @@ def test_dataset_profile_report(spark):
             df.count()
     finally:
         rep["_base"].unpersist()
+
+
+def test_vector_labelling_reports(spark):
+    pts = view(spark, SF_SMALL, "points")
+    train, test = pts.where("NOT is_query"), pts.where("is_query")
+    rep = R.cluster_labelling(train, test, 5, seed=0)
+    assert rep["centroids"].count() == 5
+    assert rep["predictions"].count() == test.count()
+    assert 0.5 <= rep["mean_purity"].first()[0] <= 1.0
+    knn = R.knn_labelling(train, test, 5, val=test)
+    assert _rows(knn["predictions"].withColumnRenamed("target", "predicted")) == \
+        _rows(E.queries()["knn_classify"](spark, SF_SMALL))
+    assert 0.0 <= knn["val_accuracy"].first()[0] <= 1.0

@@ -79,3 +79,31 @@ def dataset_profile(train: DataFrame, test: DataFrame, top: int = 20, bins: int
             out[f"{col}_missing_{split}"] = P.missing_counts(df, [col])
             out[f"{col}_distinct_{split}"] = P.distinct_values(counted, [col])
     return out
+
+
+def cluster_labelling(train: DataFrame, test: DataFrame, k: int, seed: int = 0, key: str = "id", vec: str = "vec",
+                      target: str = "target", max_iter: int = 20) -> dict[str, DataFrame]:
+    """k-means on the training vectors, clusters labelled by majority vote,
+    test rows given their nearest cluster's label (the clustering script)."""
+    from ..operators import vectors as VX
+
+    _, centroids, assigned = VX.kmeans_fit(train, k, seed, key, vec, max_iter)
+    purity = VX.cluster_purity(assigned.join(train.select(key, target), key), "cluster", target)
+    pred = VX.cluster_classify(train, test, centroids, key, vec, target)
+    return {"centroids": centroids, "purity": purity, "mean_purity": VX.mean_purity(purity),
+            "predictions": pred.select(key, F.coalesce("predicted", F.lit(0)).alias(target))}
+
+
+def knn_labelling(train: DataFrame, test: DataFrame, k: int = 5, key: str = "id", vec: str = "vec",
+                  target: str = "target", val: DataFrame | None = None) -> dict[str, DataFrame]:
+    """k-nearest-neighbour vote for the test rows, and the validation
+    accuracy when a labelled validation set is given (the KNN script)."""
+    from ..operators import ensemble as EN
+    from ..operators import vectors as VX
+
+    out = {"predictions": VX.knn_classify(test, train, k, key, vec, target)
+           .select(key, F.col("predicted").alias(target))}
+    if val is not None:
+        vp = VX.knn_classify(val, train, k, key, vec, target).join(val.select(key, target), key)
+        out["val_accuracy"] = EN.accuracy(vp, "predicted", target)
+    return out

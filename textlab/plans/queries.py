@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_compare  # noqa: F401
+from . import q_compare, q_ensemble, q_io, q_prepare, q_profile, q_score, q_vectors  # noqa: F401
 from .registry import REGISTRY
 
-for _m in ("q_profile", "q_prepare", "q_ensemble", "q_vectors", "q_score", "q_io"):
-    try:
-        __import__(f"{__package__}.{_m}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if _m not in str(e):
-            raise
-
 __all__ = ["REGISTRY"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_RUNS = 100_000  # run-weight tables (one row per run) are broadcast below this
+
 
 def threshold_label(score, t: float = 0.5, scale: str = "raw") -> Column:
     """Strict ``score > t`` as 0/1.
@@ -29,10 +31,12 @@ def vote_ensemble(preds: DataFrame, weights: DataFrame | None = None, key: str =
                   target: str = "target") -> DataFrame:
     """Weighted mean of 0/1 votes per row, strict > 0.5 (a tie gives 0).
     A run listed twice in the reference is weight 2 here (``weights``:
-    run, w). The weight table has one row per run and is broadcast."""
+    run, w). The weight table has one row per run and is broadcast under a
+    counted bound."""
     p = preds.select(key, run, target)
     if weights is not None:
-        p = p.join(F.broadcast(weights.select(run, "w")), run, "inner")
+        w = weights.select(run, "w")
+        p = p.join(F.broadcast(w) if w.count() <= MAX_RUNS else w, run, "inner")
     else:
         p = p.withColumn("w", F.lit(1))
     g = p.groupBy(key).agg((F.sum(F.col("w") * F.col(target)) / F.sum("w")).alias("vote"))

@@ -39,7 +39,7 @@ def vote_ensemble(preds: DataFrame, weights: DataFrame | None = None, key: str =
         p = p.join(F.broadcast(w) if w.count() <= MAX_RUNS else w, run, "inner")
     else:
         p = p.withColumn("w", F.lit(1))
-    g = p.groupBy(key).agg((F.sum(F.col("w") * F.col(target)) / F.sum("w")).alias("vote"))
+    g = p.groupBy(key).agg(F.try_divide(F.sum(F.col("w") * F.col(target)).cast("double"), F.sum("w")).alias("vote"))
     return g.select(key, "vote", (F.col("vote") > 0.5).cast("int").alias(target))
 
 

@@ -8,7 +8,9 @@ that setting is unset (local tests) does :func:`shared_dir` create one.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,28 +41,52 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def _one_process(master: str) -> bool:
+    """True for ``local`` and ``local[...]``; ``local-cluster[...]`` starts separate executors."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-wide checkpoint folder from the session. Only in local mode
-    with nothing set is a local folder created (tests)."""
+    """The cluster-wide checkpoint folder from the session. Only in one-process
+    local mode with nothing set is a local folder created (tests); it is
+    removed when Python ends."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            if not sc.master.startswith("local"):
+            if not _one_process(sc.master):
                 # a driver-local folder is invisible to executors on other machines
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
             d = tempfile.mkdtemp(prefix="textlab-ckpt-")
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh, unique path below the shared folder."""
+    """A fresh, unique path below the shared folder; :func:`drop_path` removes it."""
     return os.path.join(shared_dir(spark), f"textlab-{what}-{uuid.uuid4().hex}")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path of this library through Spark's file systems."""
+    if "/textlab-" not in path:
+        raise ValueError(f"not a scratch path of this library: {path}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stage_table(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` as parquet below the shared folder and read it back: cuts
+    the lineage and survives the loss of executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)

@@ -49,7 +49,7 @@ def exact_duplicates(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, carr
         read = rows.join(F.broadcast(marked), ["len", "prefix"], "left").select(
             *out, F.when(F.col("again"), F.sha2("text", 256)).alias("digest"))
     else:  # too many keys to broadcast: survivors carry their texts through one shuffle, the others do not
-        read = rows.join(keys, ["len", "prefix"], "left_semi").select(*out, F.sha2("text", 256).alias("digest")).union(
+        read = rows.join(keys, ["len", "prefix"], "left_semi").select(*out, F.sha2("text", 256).alias("digest")).unionByName(
             rows.select(*out).join(keys, ["len", "prefix"], "left_anti").withColumn("digest", F.lit(None).cast("string")))
     names = [F.col(f"carry_{k}").alias(k) for k in carry]
     groups = read.where("digest is not null").groupBy("len", "prefix", "digest").agg(

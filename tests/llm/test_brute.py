@@ -129,14 +129,14 @@ def test_broadcast_and_shuffle_of_ids_agree(spark, monkeypatch):
 
 def test_op2(spark, texts):
     """Same kept lines as exact Jaccard over all pairs of lines."""
-    from textlab.llm.lines import MIN_CHARS, PATTERN, SHARE
-    pattern = re.compile(PATTERN)
+    from textlab.llm.lines import MIN_CHARS, SHARE, SHINGLE
     first, sets = {}, {}
     for i in sorted(texts):
         for pos, raw in enumerate(texts[i].split("\n")):
             line = raw.strip(" ").lower()
             if len(line) >= MIN_CHARS and line not in sets:
-                sets[line] = set(pattern.findall(line))
+                w = line.split(" ")
+                sets[line] = {" ".join(w[j:j + 3])[:max(SHINGLE, len(x))] for j, x in enumerate(w)}
     names = {line: n for n, line in enumerate(sets)}
     by_number = {n: sets[line] for line, n in names.items()}
     comp = components(by_number, brute_links(by_number, *SHARE))
@@ -156,6 +156,12 @@ def test_op2(spark, texts):
     assert got == expect
 
 
+def test_op2_shuffled_keys_equal_broadcast_keys(spark):
+    from textlab.llm.lines import drop_lines
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    assert sorted(map(tuple, drop_lines(docs, broadcast_keys=0).collect())) == sorted(map(tuple, drop_lines(docs).collect()))
+
+
 def test_op3(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()}
     digest = {i: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode() for i, h in pages.items()}

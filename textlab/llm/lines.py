@@ -2,17 +2,19 @@
 
 Lines of at least ``MIN_CHARS`` characters (lower-cased, trimmed) take part;
 shorter ones always stay. A line's shingles are ``SHINGLE`` characters from
-every word start, or from every character of scripts without spaces. Their
-64-bit hashes fall into ``BINS`` equal ranges; the smallest of each range are
-the signature (one hash pass gives all minima), ``ROWS`` ranges make a band.
-Lines that share a band are candidates; exact Jaccard similarity of the full
-shingle sets confirms them at ``SHARE``; distributed union-find over the links
-gives components, and the first line by (doc_id, line number) of each stays.
+every word start, or the whole word where it is longer (so a line without
+spaces is one shingle and only equal lines match it). The signature holds the
+minimum and the maximum of the shingles' 64-bit hashes under ``TURNS`` bit
+flips, that is two MinHash values a pass over the hashes; ``ROWS`` of them make
+a band. Lines that share a band are candidates; exact Jaccard similarity of the
+full shingle sets confirms them at ``SHARE``; distributed union-find over the
+links gives components, and the first line by (doc_id, line number) of each
+stays.
 
 Equal lines count once from the start (grouped by hash before any band is
 made). In a bucket every line is compared with one hub, in ``HUB_ROUNDS``
 rounds, only while the two are in different components; what is still apart
-then is compared in full, within the size ratio that a link allows.
+then is compared in full, but for pairs that an exact bound rules out.
 
 Null ids come last in the order. Rows equal in id and text are one document
 and lose the same lines. Null texts stay null, empty ones empty. Other columns
@@ -22,6 +24,8 @@ pass through; an empty table gives an empty result. Lines are identified by
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +34,16 @@ from textlab.session import stage_table
 
 MIN_CHARS = 20
 SHINGLE = 16
-BINS, ROWS = 32, 3       # 10 bands of 3 bins and one of 2; a pair at 0.8 misses all of them less than once in 1,000 times
+ROWS, BANDS = 3, 8       # a pair at the threshold misses all bands three times in 1,000, one at 0.9 three in 100,000
+TURNS = ROWS * BANDS // 2
 SHARE = (80, 100)
 HUB_ROUNDS = 2
-# preceded by nothing, a space or a character of a script without spaces; starts with a non-space
-PATTERN = r"(?s)(?<![^\s⺀-퟿])(?=(\S.{0,%d}))" % (SHINGLE - 1)
+BROADCAST_KEYS = 2_000_000  # line hashes (8 bytes) or line numbers to drop that are broadcast; beyond, a shuffle join
 
 
-def _shingles(line):
-    """Sorted distinct 64-bit hashes of a line's shingles."""
-    return F.sort_array(F.array_distinct(F.transform(
-        F.regexp_extract_all(line, F.lit(PATTERN), 1), lambda g: F.xxhash64(g))))
+# hashes of a line's shingles from its words w, in order and with repeats
+_HASHES = (f"transform(w, (x, i) -> xxhash64(substring(concat_ws(' ', x, get(w, i + 1), get(w, i + 2)), 1, "
+           f"greatest({SHINGLE}, length(x)))))")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -53,26 +56,36 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         F.length("line") >= MIN_CHARS).withColumn("k", F.xxhash64("line"))
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """(bucket, k, n) for every band of every distinct line that shares it with another line."""
-    hashed = _occurrences(docs).select("k", _shingles(F.col("line")).alias("h")).select(
-        "k", F.size("h").alias("n"),
-        F.expr(f"filter(h, (x, i) -> i = 0 or shiftrightunsigned(x, {65 - BINS.bit_length()}) "
-               f"<> shiftrightunsigned(h[i - 1], {65 - BINS.bit_length()}))").alias("least"))
-    bands = -(-BINS // ROWS)
-    per_line = hashed.select("k", "n", *(F.xxhash64(F.lit(b), F.expr(
-        f"filter(least, x -> shiftrightunsigned(x, {65 - BINS.bit_length()}) div {ROWS} = {b})")).alias(f"b{b}")
-        for b in range(bands)))
+def _signed(docs: DataFrame) -> DataFrame:
+    """Every line that takes part, with its place, hash and band keys; written, as several steps read it."""
+    rng = random.Random(11)
+    hashed = _occurrences(docs).select("doc_id", "whole", "pos", "k", F.split("line", " ").alias("w")).select(
+        "doc_id", "whole", "pos", "k", F.expr(_HASHES).alias("h"))
+    flips = [0] + [rng.getrandbits(64) - (1 << 63) for _ in range(TURNS - 1)]
+    turned = hashed.select("doc_id", "whole", "pos", "k", *(
+        F.expr(f"transform(h, x -> x ^ {f}L)" if f else "h").alias(f"t{i}") for i, f in enumerate(flips)))
+    ends = turned.select("doc_id", "whole", "pos", "k", *(
+        f(f"t{i}").alias(f"m{2 * i + j}") for i in range(TURNS) for j, f in enumerate((F.array_min, F.array_max))))
+    return stage_table(ends.select("doc_id", "whole", "pos", "k", *(
+        F.xxhash64(F.lit(b), *(f"m{b + r * BANDS}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS))), "line-signed")
+
+
+def _bucketed(signed: DataFrame) -> DataFrame:
+    """(bucket, k) for every band of every distinct line that shares it with another line."""
+    names = [f"b{b}" for b in range(BANDS)]
     # equal lines have equal bands: fixed-width minima combine them before the shuffle
-    distinct = per_line.groupBy("k").agg(F.min("n").alias("n"), *(F.min(f"b{b}").alias(f"b{b}") for b in range(bands)))
-    empty = F.array(*(F.xxhash64(F.lit(b), F.expr("cast(array() as array<bigint>)")) for b in range(bands)))
-    exploded = distinct.select("k", "n", F.explode(F.array_except(
-        F.array(*(F.col(f"b{b}") for b in range(bands))), empty)).alias("bucket"))
-    dealt = exploded.repartition("bucket")  # one shuffle serves the count and the join
+    distinct = signed.groupBy("k").agg(*(F.min(n).alias(n) for n in names))
+    dealt = distinct.select("k", F.explode(F.array(*names)).alias("bucket")).repartition("bucket")
+    # the same shuffle serves the grouping and the join
     shared = dealt.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("bucket")
     return dealt.join(shared, "bucket", "left_semi")
 
 
+def _small(rows: DataFrame, broadcast_keys: int) -> DataFrame:
+    """A written table, marked for broadcast if its count allows."""
+    return F.broadcast(rows) if rows.limit(broadcast_keys + 1).count() <= broadcast_keys else rows
+
+
 def _apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     num, den = SHARE
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("h").alias("xa")), "a").join(
@@ -81,46 +94,68 @@ def _apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("m") * den >= (F.col("t") - F.col("m")) * num).select("a", "b")
 
 
-def line_components(docs: DataFrame) -> DataFrame:
-    """(node, component) of distinct lines that are near duplicates of others."""
+def _parity(word: int):
+    """64 of 256 bits over the shingles ``h``: whether an odd number of them falls on each."""
+    return F.expr(f"aggregate(filter(h, x -> (x & 192) = {word * 64}), 0L, "
+                  "(acc, x) -> acc ^ shiftleft(1L, cast(x & 63 as int)))")
+
+
+def _possible():
+    """Whether two lines can be linked: every bit that differs between their
+    parities needs a shingle that only one of them has, which bounds their
+    similarity from above exactly."""
     num, den = SHARE
-    members = stage_table(_bucketed(docs), "line-buckets")
-    wanted = stage_table(members.select("k").distinct(), "line-keys")
-    # read with its true size, the key table is broadcast if small, else joined by a shuffle
-    sets = stage_table(_occurrences(docs).join(wanted, "k", "left_semi").groupBy("k").agg(
-        F.first("line").alias("line")).select("k", _shingles(F.col("line")).alias("h")), "line-sets")
+    apart = sum((F.bit_count(F.col(f"p{w}").bitwiseXOR(F.col(f"p{w}2"))) for w in range(1, 4)),
+                F.bit_count(F.col("p0").bitwiseXOR(F.col("p02"))))
+    apart = F.greatest(apart, F.abs(F.col("n") - F.col("n2")))
+    return (F.col("n") + F.col("n2") - apart) * den >= (F.col("n") + F.col("n2") + apart) * num
+
+
+def line_components(docs: DataFrame, signed: DataFrame, broadcast_keys: int) -> DataFrame:
+    """(node, component) of distinct lines that are near duplicates of others."""
+    found = stage_table(_bucketed(signed), "line-buckets")
+    wanted = stage_table(found.select("k").distinct(), "line-keys")
+    sets = _occurrences(docs).join(_small(wanted, broadcast_keys), "k", "left_semi").groupBy("k").agg(
+        F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))
+    sets = stage_table(sets.select("k", "copies", F.split("line", " ").alias("w")).select(
+        "k", "copies", F.sort_array(F.array_distinct(F.expr(_HASHES))).alias("h")), "line-sets")
+    own = ["k", "n", *(f"p{w}" for w in range(4))]
+    members = stage_table(found.join(sets.select("k", "copies", F.size("h").alias("n"), *(
+        _parity(w).alias(f"p{w}") for w in range(4))), "k"), "line-members")
     links, joined = None, None
-    near = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
     for turn in range(HUB_ROUNDS + 1):
         if joined is None:
             at = members.withColumn("comp", F.col("k"))
         else:
             at = members.join(joined, members["k"] == joined["node"], "left").select(
-                "bucket", "k", "n", F.coalesce("component", "k").alias("comp"))
+                "bucket", *own, "copies", F.coalesce("component", "k").alias("comp"))
         if turn < HUB_ROUNDS:
+            # first the line with most copies, which is often what the others were edited from
             hubs = at.groupBy("bucket").agg(
                 F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                F.min_by(F.struct("k", "comp", "n"), F.xxhash64("k", F.lit(turn))).alias("hub")).where(
-                "lo < hi").select("bucket", F.col("hub.k").alias("k2"), F.col("hub.comp").alias("comp2"),
-                                  F.col("hub.n").alias("n2"))
-            pairs = at.join(hubs, "bucket").where((F.col("comp") != F.col("comp2")) & near)
+                F.max_by(F.struct("comp", *own), F.struct(
+                    F.col("copies") if not turn else F.lit(0), F.xxhash64("k", F.lit(turn)))).alias("hub")).where(
+                "lo < hi").select("bucket", *(F.col(f"hub.{c}").alias(c + "2") for c in ("comp", *own)))
+            pairs = at.join(hubs, "bucket").where((F.col("comp") != F.col("comp2")) & _possible())
         else:
             open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
                 "lo < hi").select("bucket")
             rest = stage_table(at.join(open_, "bucket", "left_semi"), "line-rest")
-            other = rest.select("bucket", *(F.col(c).alias(c + "2") for c in ("k", "comp", "n")))
-            pairs = rest.join(other, "bucket").where((F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & near)
-        found = stage_table(_apart(pairs.select(
+            other = rest.select("bucket", *(F.col(c).alias(c + "2") for c in ("comp", *own)))
+            pairs = rest.join(other, "bucket").where(
+                (F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & _possible())
+        new = stage_table(_apart(pairs.select(
             F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct(), sets), "line-links")
-        links = found if links is None else links.union(found)
+        links = new if links is None else links.union(new)
         joined = stage_table(components(links, "a", "b"), "line-joined")
     return joined
 
 
-def line_drops(docs: DataFrame) -> DataFrame:
+def line_drops(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, whole, drops): line numbers to drop per document that loses any."""
-    label = line_components(docs)
-    slim = stage_table(_occurrences(docs).select("doc_id", "whole", "pos", "k"), "line-places")
+    signed = _signed(docs)
+    label = line_components(docs, signed, broadcast_keys)
+    slim = signed.select("doc_id", "whole", "pos", "k")
     placed = slim.join(label, slim["k"] == label["node"], "left").select(
         "doc_id", "whole", "pos", F.coalesce("component", "k").alias("comp"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("whole"), F.col("pos"))
@@ -129,11 +164,13 @@ def line_drops(docs: DataFrame) -> DataFrame:
     return lost.groupBy("doc_id", "whole").agg(F.collect_set("pos").alias("drops"))
 
 
-def drop_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, counts: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with near-duplicate lines removed from ``text``; its own
     columns only, or with ``n_lines`` and ``n_dropped`` (``counts``)."""
-    drops = stage_table(line_drops(docs).select(
+    drops = stage_table(line_drops(docs, broadcast_keys).select(
         F.col("doc_id").alias("__id"), F.col("whole").alias("__whole"), F.col("drops").alias("__drops")), "line-drops")
+    total = drops.agg(F.sum(F.size("__drops"))).first()[0] or 0
+    drops = F.broadcast(drops) if total <= broadcast_keys else drops
     rows = docs.withColumn("__key", F.xxhash64("text"))
     joined = rows.join(drops, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__whole")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)

@@ -85,11 +85,11 @@ def word_hashes(texts, lower: bool = True, gaps_of: str = "space"):
 
 
 def runs_of(texts, chars: int = 1 << 22):
-    """(from, to) of runs of neighbouring texts with about ``chars`` characters
-    together, so that a batch of long texts is worked off in bounded memory."""
+    """(from, to) of runs of neighbouring texts (or their lengths) with about
+    ``chars`` characters together, so that a batch of long texts is worked off in bounded memory."""
     at = size = 0
     for i, t in enumerate(texts):
-        n = len(t) if t else 0
+        n = t if isinstance(t, int) else len(t) if t else 0
         if size and size + n > chars:
             yield at, i
             at, size = i, 0

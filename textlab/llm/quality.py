@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -32,6 +33,7 @@ from textlab.llm.hashing import mix, runs_of, word_hashes
 BUCKETS = 1 << 15
 FIT_ROWS = 4000          # labelled rows used at most, whatever the size of the corpus
 CALIBRATION_FOLD = 4
+FIT_TASKS = 6            # the fit reads at most FIT_ROWS rows, so a few tasks are enough
 MIN_ROWS = 20
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -158,9 +160,10 @@ def _score_batches(shared, text_col):
     def run(batches):
         model = shared.value if shared is not None else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).cast(pa.string()).to_pylist()]
-            for a, b in runs_of(texts, PIECE_CHARS):
-                part = texts[a:b]
+            column = batch.column(text_col)
+            sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+            for a, b in runs_of(sizes, PIECE_CHARS):
+                part = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 grams = _ngram_buckets(part)
                 cols = base_columns(part, grams[0], grams[1])
                 good, p = np.ones(b - a, bool), pa.nulls(b - a, pa.float64())
@@ -222,10 +225,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Qua
     # bounded by `rows` ids, so it is broadcast and no text is shuffled
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id").where("text is not null").select(
-        "text", "good", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATION_FOLD)) == 0).alias("fold"))
+        F.col("text").cast("string").alias("text"), "good", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATION_FOLD)) == 0).alias("fold"))
     sparse = F.udf(lambda i, v: SparseVector(2 * BUCKETS, i, v), VectorUDT())
     data = sample.mapInPandas(_feature_batches, "good boolean, fold boolean, idx array<int>, val array<double>").select(
-        F.col("good").cast("double").alias("label"), "fold", sparse("idx", "val").alias("features")).persist()
+        F.col("good").cast("double").alias("label"), "fold", sparse("idx", "val").alias("features")).repartition(
+        FIT_TASKS).persist()
     try:
         seen = {(r["fold"], r["label"]): r["count"] for r in data.groupBy("fold", "label").count().collect()}
         if sum(seen.values()) < MIN_ROWS or not all(seen.get((f, y)) for f in (False, True) for y in (0.0, 1.0)):

@@ -113,7 +113,7 @@ def response_parse_strict(c) -> Column:
     c = _c(c)
     return (F.when(F.contains(c, F.lit("0")), F.lit(0))
             .when(F.contains(c, F.lit("1")), F.lit(1))
-            .otherwise(F.raise_error(F.concat(F.lit("Couldn't find prediction in reply: "), c))))
+            .otherwise(F.raise_error(F.concat(F.lit("no label 0 or 1 in the reply: "), c))))
 
 
 def md5_uniform(seed, *cols) -> Column:

@@ -65,7 +65,8 @@ def bce_terms(x: str, y: str, from_logits: bool = True) -> Column:
         return F.greatest(xc, F.lit(0.0)) - xc * yc + F.log1p(F.exp(-F.abs(xc)))
     lp = F.greatest(F.when(xc > 0, F.ln(xc)), F.lit(-100.0))
     lq = F.greatest(F.when(xc < 1, F.ln(F.lit(1.0) - xc)), F.lit(-100.0))
-    return -(yc * lp + (F.lit(1.0) - yc) * lq)
+    # `greatest` skips nulls, so rows without score or target are left out explicitly
+    return F.when(xc.isNotNull() & yc.isNotNull(), -(yc * lp + (F.lit(1.0) - yc) * lq))
 
 
 def bce_loss(df: DataFrame, score: str, target: str, by=None) -> DataFrame:
@@ -80,10 +81,10 @@ def runlog_rollup(log: DataFrame, run: str = "run", epoch: str = "epoch", batch:
     """Per (run, epoch): mean batch loss, epoch accuracy sum(correct) /
     sum(n), mean of batch accuracies (the MLP script's variant) and the batch
     accuracy at the epoch's last batch (max_by, no window)."""
-    bacc = F.col(correct) / F.col(n)
+    bacc = F.try_divide(F.col(correct), F.col(n))  # an empty batch has no accuracy
     return (log.groupBy(run, epoch)
             .agg(F.avg(loss).alias("mean_loss"),
-                 (F.sum(correct) / F.sum(n)).alias("accuracy"),
+                 F.try_divide(F.sum(correct), F.sum(n)).alias("accuracy"),
                  F.avg(bacc).alias("mean_batch_acc"),
                  F.max_by(bacc, F.col(batch)).alias("last_batch_acc")))
 

@@ -113,12 +113,14 @@ def histogram_equal_width(df: DataFrame, value: str | Column, bins: int, series:
     if len(edge_rows) <= MAX_SERIES:
         stats = F.broadcast(df.sparkSession.createDataFrame(edge_rows, stats.schema))
     idx = F.least(F.floor((F.col("x") - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    counts = (base.join(stats, "series")
+    edges = stats.withColumnRenamed("series", "of")
+    counts = (base.join(edges, F.col("series").eqNullSafe(F.col("of")))  # a null series is a series
               .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
               .groupBy("series", idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     grid = stats.select("series", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    return (grid.join(counts, ["series", "bin"], "left")
+    counts = counts.select(F.col("series").alias("of"), F.col("bin").alias("at"), "n")
+    return (grid.join(counts, F.col("series").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at")), "left")
             .select("series", "bin", (F.col("lo") + F.col("bin") * width).alias("lo"),
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
                     F.coalesce(F.col("n"), F.lit(0)).alias("n")))
@@ -139,7 +141,8 @@ def histogram_int_edges(df: DataFrame, value: str | Column, edges=tuple(range(10
     counts = (base.where(F.col("x").between(float(edges[0]), float(edges[-1])))
               .groupBy("series", idx.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     grid = base.select("series").distinct().select("series", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bin"))
-    return (grid.join(counts, ["series", "bin"], "left")
+    counts = counts.select(F.col("series").alias("of"), F.col("bin").alias("at"), "n")
+    return (grid.join(counts, F.col("series").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at")), "left")
             .select("series", "bin", F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 

@@ -48,15 +48,18 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", v
                      cluster: str = "cluster", cvec: str = "cvec", out: str = "cluster") -> DataFrame:
     """Each vector's closest centroid (ties -> smaller cluster id).
 
-    The centroid table is small by nature (k x dim, checked against
-    MAX_CENTROID_VALUES) and is broadcast as one numpy matrix; points are
-    scored per Arrow batch with one matrix product; only rows with another
-    centre within rounding distance of the best are re-checked with exact
-    differences. No shuffle."""
+    A centroid table of at most MAX_CENTROID_VALUES numbers (k x dim, counted)
+    is broadcast as one numpy matrix; points are scored per Arrow batch with one
+    matrix product; only rows with another centre within rounding distance of
+    the best are re-checked with exact differences. No shuffle. A larger table
+    is searched in blocks by :func:`knn_neighbours` with k = 1, with the same
+    result. A null vector gets a null cluster."""
     k = centroids.count()
     dim = len(centroids.select(cvec).first()[0]) if k else 0
     if k * dim > MAX_CENTROID_VALUES:
-        raise ValueError("centroid table too large to broadcast; use knn_neighbours with k=1")
+        base = centroids.select(F.col(cluster).alias(key), F.col(cvec).alias(vec), F.lit(None).cast("int").alias("target"))
+        near = knn_neighbours(points.select(key, vec).where(F.col(vec).isNotNull()), base, 1, key, vec, "target")
+        return points.select(key).join(near.select(F.col("qid").alias(key), F.col("bid").cast("int").alias(out)), key, "left")
     rows = centroids.select(cluster, cvec).orderBy(cluster).collect()
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     cmat = np.array([r[1] for r in rows], dtype=np.float64)
@@ -66,9 +69,10 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", v
         cids, c = bc.value
         cn = np.einsum("ij,ij->i", c, c)
         for pdf in batches:
-            x = _matrix(pdf[vec])
-            best = np.empty(len(pdf), dtype=np.int64)
-            if len(pdf):
+            known = pdf[vec].notna().to_numpy()
+            x = _matrix(pdf[vec][known])
+            best = np.empty(len(x), dtype=np.int64)
+            if len(x) and len(cids):
                 d2 = np.einsum("ij,ij->i", x, x)[:, None] - 2.0 * (x @ c.T) + cn[None, :]
                 tol = 1e-9 * (1.0 + np.abs(d2).max())
                 near = d2 <= (d2.min(axis=1) + tol)[:, None]   # every centre that could be the closest
@@ -77,19 +81,23 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", v
                     cand = np.nonzero(near[i])[0]
                     order, _ = _exact_rank(x[i], c[cand], cids[cand])
                     best[i] = cids[cand[order[0]]]
-            yield pd.DataFrame({key: pdf[key].to_numpy(), out: best.astype(np.int32)})
+            label = pd.array([None] * len(pdf), dtype="Int32")
+            if len(cids):
+                label[known] = best
+            yield pd.DataFrame({key: pdf[key].to_numpy(), out: label})
 
     key_type = points.schema[key].dataType.simpleString()
-    return points.select(key, vec).where(F.col(vec).isNotNull()).mapInPandas(assign, f"{key} {key_type}, {out} int")
+    return points.select(key, vec).mapInPandas(assign, f"{key} {key_type}, {out} int")
 
 
 def cluster_purity(assigned: DataFrame, cluster: str = "cluster", target: str = "target") -> DataFrame:
     """M3: per cluster n0, n1, purity = max(n0, n1) / size and the majority
-    label (0 on ties). Clusters without rows do not appear."""
+    label (0 on ties). Clusters without rows do not appear; the purity of one
+    whose targets are all null is null."""
     g = assigned.groupBy(cluster).agg(F.count_if(F.col(target) == 0).alias("n0"),
                                        F.count_if(F.col(target) == 1).alias("n1"))
     return g.select(cluster, "n0", "n1",
-                    (F.greatest("n0", "n1") / (F.col("n0") + F.col("n1"))).alias("purity"),
+                    F.try_divide(F.greatest("n0", "n1"), F.col("n0") + F.col("n1")).alias("purity"),
                     F.when(F.col("n0") >= F.col("n1"), F.lit(0)).otherwise(F.lit(1)).alias("label"))
 
 

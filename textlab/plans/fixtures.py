@@ -70,18 +70,19 @@ SELECT CAST(floor(vec_id / 8) AS BIGINT) AS id, vec_id % 8 AS pos,
  CASE WHEN vec_id % 8 < CAST(floor(vec_id / 8) AS BIGINT) % 9 THEN 1 ELSE 0 END AS mask, embedding AS vec FROM embeddings
 """
 
+# Every distinct token but a third (by hash), with the embedding that its md5 picks.
 WORD_VECTORS_SPARK = r"""
 SELECT t.tok, e.embedding AS vec FROM (
- SELECT tok, row_number() OVER (ORDER BY n DESC, tok) - 1 AS r FROM (
-  SELECT tok, count(*) AS n FROM (SELECT explode(split(text, '\\s+')) AS tok FROM documents) x WHERE tok <> '' GROUP BY tok ORDER BY n DESC, tok LIMIT 300) g) t
-JOIN embeddings e ON e.vec_id = t.r
+ SELECT tok, cast(conv(substring(md5(tok), 1, 8), 16, 10) AS BIGINT) AS h
+ FROM (SELECT DISTINCT explode(split(text, '\\s+')) AS tok FROM documents) x WHERE tok <> '') t
+JOIN embeddings e ON e.vec_id = t.h % (SELECT count(*) FROM embeddings) WHERE t.h % 3 <> 0
 """
 
 WORD_VECTORS_DUCKDB = r"""
 SELECT t.tok, e.embedding AS vec FROM (
- SELECT tok, row_number() OVER (ORDER BY n DESC, tok) - 1 AS r FROM (
-  SELECT tok, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS tok FROM documents) x WHERE tok <> '' GROUP BY tok ORDER BY n DESC, tok LIMIT 300) g) t
-JOIN embeddings e ON e.vec_id = t.r
+ SELECT tok, CAST(concat('0x', substring(md5(tok), 1, 8)) AS BIGINT) AS h
+ FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS tok FROM documents) x WHERE tok <> '') t
+JOIN embeddings e ON e.vec_id = t.h % (SELECT count(*) FROM embeddings) WHERE t.h % 3 <> 0
 """
 
 SPARK_VIEWS = {

@@ -70,9 +70,14 @@ def read_word_vectors(spark: SparkSession, paths, dim: int | None = None) -> Dat
     'token v1 ... vd' per line) -> (tok, vec ARRAY<FLOAT>). The header line is
     recognised by its field count, so the files can be split freely."""
     lines = spark.read.text(paths)
-    parts = F.split(F.col("value"), " ")
-    body = lines.where(F.size(parts) > 2) if dim is None else lines.where(F.size(parts) == dim + 1)
-    body = body.select(parts.alias("p"))
+    parts = F.split(F.rtrim(F.col("value")), " ")  # some writers end every line with a space
+    # only the header has two fields that are whole numbers; any other line of the wrong width fails the job
+    header = F.rtrim(F.col("value")).rlike(r"^\d+ \d+$")
+    wanted = ~header & (F.rtrim(F.col("value")) != "")
+    if dim is not None:  # guarded by `wanted` itself: Spark may evaluate it ahead of the filter
+        parts = F.when(F.size(parts) == dim + 1, parts).when(wanted, F.raise_error(
+            F.concat(F.lit("a word vector of the wrong width: "), parts[0])))
+    body = lines.where(wanted).select(parts.alias("p"))
     return body.select(F.col("p")[0].alias("tok"),
                        F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vec"))
 

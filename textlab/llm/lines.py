@@ -41,9 +41,10 @@ HUB_ROUNDS = 2
 BROADCAST_KEYS = 2_000_000  # line hashes (8 bytes) or line numbers to drop that are broadcast; beyond, a shuffle join
 
 
-# hashes of a line's shingles from its words w, in order and with repeats
-_HASHES = (f"transform(w, (x, i) -> xxhash64(substring(concat_ws(' ', x, get(w, i + 1), get(w, i + 2)), 1, "
-           f"greatest({SHINGLE}, length(x)))))")
+# hash of the shingle that starts at word x, number i of the words w; those of a line in order and with repeats
+_SHINGLE_HASH = (f"xxhash64(substring(concat_ws(' ', x, get(w, i + 1), get(w, i + 2)), 1, "
+                 f"greatest({SHINGLE}, length(x))))")
+_HASHES = f"transform(w, (x, i) -> {_SHINGLE_HASH})"
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -51,34 +52,34 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     tells texts of one id apart."""
     lines = docs.where("text is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("whole"),
-        F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "raw"))
-    return lines.select("doc_id", "whole", "pos", F.lower(F.trim("raw")).alias("line")).where(
+        F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n", -1)).alias("pos", "raw"))
+    return lines.select("doc_id", "whole", "pos", F.trim("raw").alias("line")).where(
         F.length("line") >= MIN_CHARS).withColumn("k", F.xxhash64("line"))
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """Every line that takes part, with its place, hash and band keys; written, as several steps read it."""
+def _banded(docs: DataFrame) -> DataFrame:
+    """(k, b0, b1, ...): the band keys of every distinct line that takes part.
+
+    A shingle is a row, so shingling, hashing and the minima and maxima run in generated code
+    (functions over arrays are interpreted); the minima of equal lines combine before the shuffle.
+    No line is without words; "outer" only spares the filter for that, which would split every line again."""
     rng = random.Random(11)
-    hashed = _occurrences(docs).select("doc_id", "whole", "pos", "k", F.split("line", " ").alias("w")).select(
-        "doc_id", "whole", "pos", "k", F.expr(_HASHES).alias("h"))
+    shingles = _occurrences(docs).select("k", F.split("line", " ").alias("w")).select(
+        "k", "w", F.posexplode_outer("w").alias("i", "x")).select("k", F.expr(_SHINGLE_HASH).alias("h"))
     flips = [0] + [rng.getrandbits(64) - (1 << 63) for _ in range(TURNS - 1)]
-    turned = hashed.select("doc_id", "whole", "pos", "k", *(
-        F.expr(f"transform(h, x -> x ^ {f}L)" if f else "h").alias(f"t{i}") for i, f in enumerate(flips)))
-    ends = turned.select("doc_id", "whole", "pos", "k", *(
-        f(f"t{i}").alias(f"m{2 * i + j}") for i in range(TURNS) for j, f in enumerate((F.array_min, F.array_max))))
-    return stage_table(ends.select("doc_id", "whole", "pos", "k", *(
-        F.xxhash64(F.lit(b), *(f"m{b + r * BANDS}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS))), "line-signed")
+    ends = shingles.groupBy("k").agg(*(
+        f(F.col("h").bitwiseXOR(F.lit(flip)) if flip else F.col("h")).alias(f"m{2 * i + j}")
+        for i, flip in enumerate(flips) for j, f in enumerate((F.min, F.max))))
+    return ends.select("k", *(
+        F.xxhash64(F.lit(b), *(f"m{b + r * BANDS}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)))
 
 
-def _bucketed(signed: DataFrame) -> DataFrame:
+def _bucketed(banded: DataFrame) -> DataFrame:
     """(bucket, k) for every band of every distinct line that shares it with another line."""
-    names = [f"b{b}" for b in range(BANDS)]
-    # equal lines have equal bands: fixed-width minima combine them before the shuffle
-    distinct = signed.groupBy("k").agg(*(F.min(n).alias(n) for n in names))
-    dealt = distinct.select("k", F.explode(F.array(*names)).alias("bucket")).repartition("bucket")
-    # the same shuffle serves the grouping and the join
+    dealt = banded.select("k", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket")).repartition("bucket")
+    # the same shuffle serves the grouping and the join (a semi join would be moved below it, and shuffle again)
     shared = dealt.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("bucket")
-    return dealt.join(shared, "bucket", "left_semi")
+    return dealt.join(shared, "bucket")
 
 
 def _small(rows: DataFrame, broadcast_keys: int) -> DataFrame:
@@ -111,9 +112,9 @@ def _possible():
     return (F.col("n") + F.col("n2") - apart) * den >= (F.col("n") + F.col("n2") + apart) * num
 
 
-def line_components(docs: DataFrame, signed: DataFrame, broadcast_keys: int) -> DataFrame:
+def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
     """(node, component) of distinct lines that are near duplicates of others."""
-    found = stage_table(_bucketed(signed), "line-buckets")
+    found = stage_table(_bucketed(_banded(docs)), "line-buckets")
     wanted = stage_table(found.select("k").distinct(), "line-keys")
     sets = _occurrences(docs).join(_small(wanted, broadcast_keys), "k", "left_semi").groupBy("k").agg(
         F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))
@@ -153,11 +154,11 @@ def line_components(docs: DataFrame, signed: DataFrame, broadcast_keys: int) ->
 
 def line_drops(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, whole, drops): line numbers to drop per document that loses any."""
-    signed = _signed(docs)
-    label = line_components(docs, signed, broadcast_keys)
-    slim = signed.select("doc_id", "whole", "pos", "k")
-    placed = slim.join(label, slim["k"] == label["node"], "left").select(
-        "doc_id", "whole", "pos", F.coalesce("component", "k").alias("comp"))
+    label = line_components(docs, broadcast_keys)
+    slim = _occurrences(docs).select("doc_id", "whole", "pos", "k")
+    # written, as two steps read it
+    placed = stage_table(slim.join(label, slim["k"] == label["node"], "left").select(
+        "doc_id", "whole", "pos", F.coalesce("component", "k").alias("comp")), "line-placed")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("whole"), F.col("pos"))
     first = placed.groupBy("comp").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     lost = placed.join(first.select("comp", "keep"), "comp").where(~place.eqNullSafe(F.col("keep")))

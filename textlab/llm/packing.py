@@ -53,24 +53,28 @@ def _byte_of():
     return table
 
 
-def _engines(path: str):
+def _fast(path: str):
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec["added_tokens"]}
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
-    fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _plain(path: str):
+    from tokenizers import Tokenizer
+
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
-    return fast, plain
+    return plain
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a whole text, without an end."""
-    fast, plain = worker_object(("packing", path), lambda: _engines(path))
+    fast = worker_object(("packing fast", path), lambda: _fast(path))
     if not text:
         return np.zeros(0, np.uint32)
     try:
@@ -78,6 +82,7 @@ def token_ids(text: str | None, path: str) -> np.ndarray:
     except BaseException as e:  # the engine's own panics (its regex on extreme texts) are not Exceptions
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
+        plain = worker_object(("packing plain", path), lambda: _plain(path))  # rarely needed, so not held by every worker
         return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

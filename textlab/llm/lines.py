@@ -1,9 +1,8 @@
 """Fuzzy line dedup by MinHash, with built-in functions only.
 
 Lines of at least ``MIN_CHARS`` characters (lower-cased, trimmed) take part;
-shorter ones always stay. A line's shingles are ``SHINGLE`` characters from
-every word start, or the whole word where it is longer (so a line without
-spaces is one shingle and only equal lines match it). The signature holds the
+shorter ones always stay. A line's shingles are the ``SHINGLE`` characters from
+every position, spaces and all. The signature holds the
 minimum and the maximum of the shingles' 64-bit hashes under ``TURNS`` bit
 flips, that is two MinHash values a pass over the hashes; ``ROWS`` of them make
 a band. Lines that share a band are candidates; exact Jaccard similarity of the
@@ -33,7 +32,7 @@ from textlab.llm.components import components
 from textlab.session import stage_table
 
 MIN_CHARS = 20
-SHINGLE = 16
+SHINGLE = 5
 ROWS, BANDS = 3, 8       # a pair at the threshold misses all bands three times in 1,000, one at 0.9 three in 100,000
 TURNS = ROWS * BANDS // 2
 SHARE = (80, 100)
@@ -41,10 +40,13 @@ HUB_ROUNDS = 2
 BROADCAST_KEYS = 2_000_000  # line hashes (8 bytes) or line numbers to drop that are broadcast; beyond, a shuffle join
 
 
-# hash of the shingle that starts at word x, number i of the words w; those of a line in order and with repeats
-_SHINGLE_HASH = (f"xxhash64(substring(concat_ws(' ', x, get(w, i + 1), get(w, i + 2)), 1, "
-                 f"greatest({SHINGLE}, length(x))))")
-_HASHES = f"transform(w, (x, i) -> {_SHINGLE_HASH})"
+# the shingles of a line in order and with repeats: one pass (substring would count from the line's start each time)
+def _shingles(line: str):
+    return F.expr(f"regexp_extract_all({line}, '(?s)(?=(.{{{SHINGLE}}})).', 1)")
+
+
+def _hashes(line: str):
+    return F.array_distinct(F.transform(_shingles(line), lambda x: F.xxhash64(x)))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -62,10 +64,10 @@ def _banded(docs: DataFrame) -> DataFrame:
 
     A shingle is a row, so shingling, hashing and the minima and maxima run in generated code
     (functions over arrays are interpreted); the minima of equal lines combine before the shuffle.
-    No line is without words; "outer" only spares the filter for that, which would split every line again."""
+    No line is without shingles; "outer" only spares the filter for that, which would cut every line again."""
     rng = random.Random(11)
-    shingles = _occurrences(docs).select("k", F.split("line", " ").alias("w")).select(
-        "k", "w", F.posexplode_outer("w").alias("i", "x")).select("k", F.expr(_SHINGLE_HASH).alias("h"))
+    shingles = _occurrences(docs).select("k", F.explode_outer(_shingles("line")).alias("x")).select(
+        "k", F.xxhash64("x").alias("h"))
     flips = [0] + [rng.getrandbits(64) - (1 << 63) for _ in range(TURNS - 1)]
     ends = shingles.groupBy("k").agg(*(
         f(F.col("h").bitwiseXOR(F.lit(flip)) if flip else F.col("h")).alias(f"m{2 * i + j}")
@@ -89,9 +91,9 @@ def _small(rows: DataFrame, broadcast_keys: int) -> DataFrame:
 
 def _apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     num, den = SHARE
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("h").alias("xa")), "a").join(
-        sets.select(F.col("k").alias("b"), F.col("h").alias("xb")), "b").select(
-        "a", "b", F.size(F.array_intersect("xa", "xb")).alias("m"), (F.size("xa") + F.size("xb")).alias("t"))
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a").join(
+        sets.select(F.col("k").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b").select(
+        "a", "b", F.size(F.array_intersect(_hashes("la"), _hashes("lb"))).alias("m"), (F.col("na") + F.col("nb")).alias("t"))
     return both.where(F.col("m") * den >= (F.col("t") - F.col("m")) * num).select("a", "b")
 
 
@@ -116,13 +118,13 @@ def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
     """(node, component) of distinct lines that are near duplicates of others."""
     found = stage_table(_bucketed(_banded(docs)), "line-buckets")
     wanted = stage_table(found.select("k").distinct(), "line-keys")
-    sets = _occurrences(docs).join(_small(wanted, broadcast_keys), "k", "left_semi").groupBy("k").agg(
-        F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))
-    sets = stage_table(sets.select("k", "copies", F.split("line", " ").alias("w")).select(
-        "k", "copies", F.sort_array(F.array_distinct(F.expr(_HASHES))).alias("h")), "line-sets")
+    # the lines' texts are kept, not their shingles, which are many times as large
+    sets = _occurrences(docs).join(_small(wanted, broadcast_keys), "k", "left_semi").groupBy("k", "line").agg(
+        F.count(F.lit(1)).alias("copies")).select("k", "line", "copies", _hashes("line").alias("h"))
+    sets = stage_table(sets.select("k", "line", "copies", F.size("h").alias("n"), *(
+        _parity(w).alias(f"p{w}") for w in range(4))), "line-sets")
     own = ["k", "n", *(f"p{w}" for w in range(4))]
-    members = stage_table(found.join(sets.select("k", "copies", F.size("h").alias("n"), *(
-        _parity(w).alias(f"p{w}") for w in range(4))), "k"), "line-members")
+    members = stage_table(found.join(sets.select(*own, "copies"), "k"), "line-members")
     links, joined = None, None
     for turn in range(HUB_ROUNDS + 1):
         if joined is None:

@@ -42,3 +42,17 @@ def test_op2_against_plain_character_shingles(spark):
         expect[i] = "\n".join(kept)
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     assert {r["doc_id"]: r["text"] for r in drop_lines(docs).collect()} == expect
+
+
+def test_op2_banding_at_the_threshold(spark):
+    """Pairs of similarity 0.8 (16 of 20 shingles) miss all bands three times in 1,000, not more."""
+    import random
+    from textlab.llm.lines import BANDS, _banded
+    rng = random.Random(3)
+    longer = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=24)) for _ in range(4000)]
+    docs = spark.createDataFrame([(0, "\n".join(x for line in longer for x in (line, line[:20])))], "doc_id bigint, text string")
+    from pyspark.sql import functions as F
+    keys = {r["k"]: {r[f"b{b}"] for b in range(BANDS)} for r in _banded(docs).collect()}
+    names = spark.createDataFrame([(a, a[:20]) for a in longer], "a string, b string").select(F.xxhash64("a"), F.xxhash64("b")).collect()
+    missed = sum(not keys[a] & keys[b] for a, b in names)
+    assert missed <= 24, missed

@@ -3,9 +3,8 @@
 Lines of at least ``MIN_CHARS`` characters (lower-cased, trimmed) take part;
 shorter ones always stay. A line's shingles are the ``SHINGLE`` characters from
 every position, spaces and all. The signature holds the
-minimum and the maximum of the shingles' 64-bit hashes under ``TURNS`` bit
-flips, that is two MinHash values a pass over the hashes; ``ROWS`` of them make
-a band. Lines that share a band are candidates; exact Jaccard similarity of the
+minimum and the maximum of the shingles' 64-bit hashes under ``SEEDS`` seeds,
+that is two MinHash values a hash; ``ROWS`` of them make a band. Lines that share a band are candidates; exact Jaccard similarity of the
 full shingle sets confirms them at ``SHARE``; distributed union-find over the
 links gives components, and the first line by (doc_id, line number) of each
 stays.
@@ -23,8 +22,6 @@ pass through; an empty table gives an empty result. Lines are identified by
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +31,7 @@ from textlab.session import stage_table
 MIN_CHARS = 20
 SHINGLE = 5
 ROWS, BANDS = 3, 8       # a pair at the threshold misses all bands three times in 1,000, one at 0.9 three in 100,000
-TURNS = ROWS * BANDS // 2
+SEEDS = ROWS * BANDS // 2
 SHARE = (80, 100)
 HUB_ROUNDS = 2
 BROADCAST_KEYS = 2_000_000  # line hashes (8 bytes) or line numbers to drop that are broadcast; beyond, a shuffle join
@@ -65,13 +62,11 @@ def _banded(docs: DataFrame) -> DataFrame:
     A shingle is a row, so shingling, hashing and the minima and maxima run in generated code
     (functions over arrays are interpreted); the minima of equal lines combine before the shuffle.
     No line is without shingles; "outer" only spares the filter for that, which would cut every line again."""
-    rng = random.Random(11)
     shingles = _occurrences(docs).select("k", F.explode_outer(_shingles("line")).alias("x")).select(
         "k", F.xxhash64("x").alias("h"))
-    flips = [0] + [rng.getrandbits(64) - (1 << 63) for _ in range(TURNS - 1)]
     ends = shingles.groupBy("k").agg(*(
-        f(F.col("h").bitwiseXOR(F.lit(flip)) if flip else F.col("h")).alias(f"m{2 * i + j}")
-        for i, flip in enumerate(flips) for j, f in enumerate((F.min, F.max))))
+        f(F.xxhash64(F.lit(seed), "h")).alias(f"m{2 * seed + j}")
+        for seed in range(SEEDS) for j, f in enumerate((F.min, F.max))))
     return ends.select("k", *(
         F.xxhash64(F.lit(b), *(f"m{b + r * BANDS}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)))
 

@@ -56,3 +56,17 @@ def test_op2_banding_at_the_threshold(spark):
     names = spark.createDataFrame([(a, a[:20]) for a in longer], "a string, b string").select(F.xxhash64("a"), F.xxhash64("b")).collect()
     missed = sum(not keys[a] & keys[b] for a, b in names)
     assert missed <= 24, missed
+
+
+def test_op9_long_document_across_the_cut(spark):
+    """The documents behind a long one fill what it leaves of the remainder."""
+    from textlab.llm.mixing import mix_report
+    # source a: target a quarter of all words, half of its own; only its one long document may lie across
+    rows = [(i, "w " * 50, "a") for i in range(1000)] + [(1000, "w " * 50_000, "a")]
+    rows += [(2000 + i, "v " * 500, "b") for i in range(100)]
+    got = mix_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for ids in (range(1001), range(2000, 2100)):
+        mine = [r for r in got if r["doc_id"] in ids]
+        taken, target = sum(r["taken"] for r in mine), mine[0]["target"]
+        assert abs(taken - target) <= 0.01 * target, (taken, target)
+        assert all(0 <= t <= 1 and len(r["positions"]) == r["copies"] for r in mine for t in r["positions"])

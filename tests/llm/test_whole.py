@@ -70,3 +70,15 @@ def test_op9_long_document_across_the_cut(spark):
         taken, target = sum(r["taken"] for r in mine), mine[0]["target"]
         assert abs(taken - target) <= 0.01 * target, (taken, target)
         assert all(0 <= t <= 1 and len(r["positions"]) == r["copies"] for r in mine for t in r["positions"])
+
+
+def test_op10_added_tokens_in_a_text():
+    """Ids of the plain call."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from textlab.llm.packing import token_ids
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    assert token_ids("a<|endoftext|>b", path).tolist() == [64, 50256, 65]
+    for text in ("x <|endoftext|> y", "<|endoftext|>" * 3, "<|endoftext|", "日本 it's 12345", "a" * 1000):
+        assert token_ids(text, path).tolist() == t.encode(text, add_special_tokens=False).ids

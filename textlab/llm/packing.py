@@ -13,8 +13,9 @@ lengths before, so the pieces themselves are never shuffled or sorted.
 
 The vocabulary is read from the tokenizer file that is a parameter. The ids
 come from tiktoken's engine over that vocabulary, a third of the time of the
-``tokenizers`` engine with equal ids (tested); texts that its engine refuses
-go to ``tokenizers``. Special tokens' names in a text are ordinary text.
+``tokenizers`` engine with equal ids (tested); texts that its engine refuses,
+and those that hold an added token's content, which gives that token's id, go
+to ``tokenizers``.
 
 Null texts count as empty: one piece, the end. Null ids and repeated rows are
 packed like others. Other columns are ignored. An empty table gives an empty
@@ -58,32 +59,37 @@ def _fast(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"]}
+    added = sorted({t["content"] for t in spec["added_tokens"]})
+    special = set(added)
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 def _plain(path: str):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    return plain
+    return Tokenizer.from_file(path)
+
+
+def _plain_ids(text: str, path: str) -> np.ndarray:
+    plain = worker_object(("packing plain", path), lambda: _plain(path))  # rarely needed, so not held by every worker
+    return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a whole text, without an end."""
-    fast = worker_object(("packing fast", path), lambda: _fast(path))
+    fast, added = worker_object(("packing fast", path), lambda: _fast(path))
     if not text:
         return np.zeros(0, np.uint32)
+    if any(content in text for content in added):
+        return _plain_ids(text, path)
     try:
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
     except BaseException as e:  # the engine's own panics (its regex on extreme texts) are not Exceptions
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
-        plain = worker_object(("packing plain", path), lambda: _plain(path))  # rarely needed, so not held by every worker
-        return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return _plain_ids(text, path)
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:

@@ -82,3 +82,11 @@ def test_op10_added_tokens_in_a_text():
     assert token_ids("a<|endoftext|>b", path).tolist() == [64, 50256, 65]
     for text in ("x <|endoftext|> y", "<|endoftext|>" * 3, "<|endoftext|", "日本 it's 12345", "a" * 1000):
         assert token_ids(text, path).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_op5_long_quoted_values():
+    from textlab.llm.secrets import scan_text
+    value = "".join(chr(33 + (i * 37 + i * i) % 90) for i in range(400)).replace('"', "x").replace("'", "y")
+    for text in (f'auth = "{value[:200]}"', f"credentials: '{value[:129]}'", f"pwd: '{value}'"):
+        spans, top = scan_text(text)
+        assert [(text[s:e], k) for s, k, e in spans] == [(text[text.index(value[:9]):-1], 3)] and top > 10

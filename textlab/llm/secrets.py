@@ -38,7 +38,7 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 LIKELY = r"(?i:pass|secret|token|api_?key|pwd|login|credential|auth)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|login|credentials?|auth(?:_?key)?)["']?\x20*[:=]\x20*"""
-    r"""(?:"([^"\n]{6,128})"|'([^'\n]{6,128})'|([^\s"']{6,}))""", re.A | re.I)
+    r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"']{6,}))""", re.A | re.I)
 LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 MIN_GUESSES = 10.0
 # a small ranked list of words common in passwords; a larger one may be given

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from textlab.llm.bestfit import pack_best_fit
+from textlab.llm.collocations import collocations
 from textlab.llm.exact import exact_duplicates
 from textlab.llm.licences import licence_labels
 from textlab.llm.lines import drop_lines
@@ -14,6 +16,7 @@ from textlab.llm.mixing import mix_report
 from textlab.llm.neardup import near_duplicates
 from textlab.llm.packing import pack
 from textlab.llm.quality import quality_rules
+from textlab.llm.repair import repair_conversations
 from textlab.llm.secrets import secret_spans
 from textlab.llm.warc import archive_folder, read_archives, write_archives
 
@@ -65,12 +68,52 @@ def op10_pack_binary(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_audit_repair(spark, sf_dir):
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op12_best_fit(spark, sf_dir):
+    return pack_best_fit(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op13_marginal_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+OP13_SQL = r"""
+WITH pieces AS (
+ SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(text,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+ FROM documents WHERE text IS NOT NULL),
+grams AS (
+ SELECT lang, ws[i:i + m - 1] AS p FROM (
+  SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m)
+  WHERE len(ws) >= m)),
+f AS (SELECT lang, p, len(p) AS m, count(*) AS c FROM grams GROUP BY lang, p),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE c >= 100 AND m > 1),
+inner_ AS (SELECT lang, p[i:i + k - 1] AS p, max(c) AS longer FROM (
+  SELECT lang, p, c, m, k, unnest(range(1, m - k + 2)) AS i FROM (
+   SELECT lang, p, c, m, unnest(range(2, m)) AS k FROM cand)) GROUP BY 1, 2),
+kept AS (SELECT cand.* FROM cand LEFT JOIN inner_ USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * c),
+cuts AS (
+ SELECT q.lang, q.p, q.k, q.c AS a, x.c AS l, y.c AS r, n.n,
+  (1000::HUGEINT * q.c * n.n) // (x.c::HUGEINT * y.c) AS score
+ FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) q
+ JOIN f x ON x.lang = q.lang AND x.p = q.p[:q.k] JOIN f y ON y.lang = q.lang AND y.p = q.p[q.k + 1:]
+ JOIN n ON n.lang = q.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER w AS rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM best WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' '))
+QUALIFY row_number() OVER w <= 2000
+"""
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -82,5 +125,8 @@ QUERIES = {
     "op8_exact_refine": (op8_exact_refine, OP8_SQL),
     "op9_mix_curriculum": (op9_mix_curriculum, None),
     "op10_pack_binary": (op10_pack_binary, None),
+    "op11_audit_repair": (op11_audit_repair, None),
+    "op12_best_fit": (op12_best_fit, None),
+    "op13_marginal_collocations": (op13_marginal_collocations, OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

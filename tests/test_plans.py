@@ -73,4 +73,5 @@ def test_scan_pruning_and_pushdown(spark):
 def test_bootstrap_no_shuffle_of_rows(spark):
     tree = _tree(E.queries()["balanced_bootstrap"](spark, SF_SMALL))
     assert "Generate" in tree
-    assert tree.count("Exchange") <= 1  # only the labels side of the fixture join may shuffle
+    # the class table is broadcast; only the labels side of the fixture join may shuffle
+    assert tree.count("Exchange") - tree.count("BroadcastExchange") <= 1

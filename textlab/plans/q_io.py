@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import compare as C
 from ..session import scratch_path
 from ..sources import csv_io as IO
+from ..sources import word2vec as W2
 from .fixtures import view
 from .q_compare import M_CTE, merged
 from .q_prepare import DIM
@@ -59,6 +60,16 @@ def q_scan_word_vectors(spark, sf):
     return wv.select("tok", F.posexplode("vec").alias("dim", "value"))
 
 
+@register("scan_word_vectors_binary", "tok:s dim:i value:d",
+          "SELECT tok, unnest(generate_series(0, len(vec) - 1)) AS dim, unnest(vec) AS value FROM word_vectors",
+          ["word_vectors"])
+def q_scan_word_vectors_binary(spark, sf):
+    path = scratch_path(spark, "binary-vectors")
+    W2.write_binary_vectors(view(spark, sf, "word_vectors"), path)
+    wv = W2.read_binary_vectors(spark, path, split_bytes=4 << 20)
+    return wv.select("tok", F.posexplode("vec").alias("dim", "value"))
+
+
 @register("write_predictions", "id:i target:i", "SELECT id, target FROM preds WHERE run = 'run0'", ["preds"])
 def q_write_predictions(spark, sf):
     path = scratch_path(spark, "predictions")

@@ -140,6 +140,20 @@ def q_balanced_bootstrap(spark, sf):
     return S.balanced_bootstrap(labelled(spark, sf).select("id", "target"), "target", 0)
 
 
+@register("balanced_draw_exact", "id:i target:i copy:i",
+          f"""WITH {LAB}, cw AS (SELECT target, count(*) AS n FROM lab GROUP BY target),
+ w AS (SELECT lab.id, lab.target, CAST(floor(CAST((SELECT count(*) FROM lab) AS DOUBLE) / ((SELECT count(*) FROM cw) * cw.n)
+        * CAST(1e12 AS DOUBLE)) AS HUGEINT) AS w, CAST(concat('0x', substr(md5('0:draw:' || CAST(lab.id AS VARCHAR)), 1, 8)) AS BIGINT) AS u
+       FROM lab JOIN cw ON lab.target = cw.target),
+ p AS (SELECT id, target, coalesce(sum(w) OVER (ORDER BY u, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w),
+ d AS (SELECT ((CAST(concat('0x', substr(md5('0:position:' || CAST(j AS VARCHAR)), 1, 13)) AS BIGINT) >> 2)::HUGEINT
+        * (SELECT sum(w) FROM w)::HUGEINT) // (1::HUGEINT << 50) AS spot FROM (SELECT unnest(range(0, (SELECT count(*) FROM lab))) AS j) x),
+ k AS (SELECT p.id, p.target, count(*) AS k FROM d ASOF JOIN p ON d.spot >= p.pos GROUP BY p.id, p.target)
+SELECT id, target, unnest(range(1, k + 1)) AS copy FROM k""", ["tw"])
+def q_balanced_draw(spark, sf):
+    return S.balanced_draw(labelled(spark, sf).select("id", "target"), "target", None, 0)
+
+
 @register("build_vocab", "tok:s idx:i", f"WITH {LAB}, {TRN}, {VOC} SELECT tok, idx FROM voc", ["tw"])
 def q_build_vocab(spark, sf):
     return V.build_vocab(train_part(spark, sf), "text", 5000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ann as AN
 from ..operators import vectors as VX
 from .fixtures import view
 from .registry import register
@@ -98,6 +99,19 @@ def q_knn_sweep(spark, sf):
     return VX.knn_k_sweep(queries, base, (2, 3, 5, 7, 10, 20))
 
 
+@register("knn_ivfpq", "qid:i bid:i rank:i d2:d")
+def q_knn_ivfpq(spark, sf):
+    """Approximate neighbours of every row whose id is divisible by 20, among all rows."""
+    pts = view(spark, sf, "points")
+    return AN.ann_neighbours(pts.where("id % 20 = 0"), pts, 5)
+
+
+@register("knn_ivfpq_sweep", "id:i k:i predicted:i")
+def q_knn_ivfpq_sweep(spark, sf):
+    _, base, queries = points_parts(spark, sf)
+    return AN.ann_classify(queries, base, (2, 3, 5, 7, 10, 20))
+
+
 # Non-SQL-expressible (iterative Spark ML fits): rows-only check, invariants in pytest.
 
 @register("kmeans_fit", "id:i cluster:i")

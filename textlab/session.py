@@ -78,6 +78,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def list_paths(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder (a file: itself), through Spark's file systems; nothing where there is no such path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def stage_table(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as parquet below the shared folder and read it back: cuts
     the lineage and survives the loss of executors."""

@@ -25,3 +25,11 @@ def worker_object(key: Hashable, make: Callable[[], object]):
     if key not in holder.objects:
         holder.objects[key] = make()
     return holder.objects[key]
+
+
+def forget_worker_objects() -> None:
+    """Drops all objects of this process: for tasks that need the memory and
+    none of them. Reused workers would otherwise hold those of earlier stages."""
+    holder = sys.modules.get(_NAME)
+    if holder is not None:
+        holder.objects.clear()

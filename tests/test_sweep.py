@@ -1,0 +1,84 @@
+"""The one-scan cluster sweep against plain Lloyd."""
+
+import hashlib
+
+import numpy as np
+import pytest
+
+from textlab.operators import sweep as SW
+
+
+def plain_lloyd(ids, x, k, seed, max_iter=300):
+    order = sorted(range(len(ids)), key=lambda i: (int(hashlib.md5(f"{seed}:start:{ids[i]}".encode()).hexdigest()[:8], 16), ids[i]))
+    c = x[order[:k]].copy()
+    a, passes = np.full(len(x), -1), 0
+    while passes < max_iter:
+        d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(-1))
+        new, passes = d.argmin(1), passes + 1
+        moved = (new != a).any()
+        a, old = new, c.copy()
+        empty = [j for j in range(len(c)) if not (a == j).any()]
+        for j in range(len(c)):
+            if (a == j).any():
+                c[j] = x[a == j].mean(0)
+        off = np.sqrt(((x - old[a]) ** 2).sum(1))
+        far = [i for i in sorted(range(len(x)), key=lambda i: (-off[i], ids[i])) if off[i] > 0][: len(empty)]
+        for j, i in zip(empty, far):
+            c[j] = x[i]
+        if not moved and not far:
+            break
+    return a, c, passes
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(9, 5)) * 3
+    x = centres[rng.integers(0, 9, 400)] + rng.normal(size=(400, 5))
+    x[50:110] = x[3]                     # copies, so that starts coincide and clusters are empty
+    y = rng.integers(0, 2, 400)
+    rows = [(i, [float(v) for v in r], int(t)) for i, (r, t) in enumerate(zip(x, y))] + [(1000, None, 1)]
+    return spark.createDataFrame(rows, "id long, vec array<double>, target int").repartition(5), x, y
+
+
+def test_same_assignments_as_plain_lloyd(spark, data):
+    df, x, y = data
+    ks = [1, 3, 7, 12, 40]
+    assigned, centres, passes = SW.lloyd_sweep(df, ks, seed=4)
+    got = {r["id"]: r["a"] for r in assigned.collect()}
+    assert set(got) == set(range(400))
+    for j, k in enumerate(ks):
+        a, c, n = plain_lloyd(list(range(400)), x, k, 4)
+        assert [got[i][j] for i in range(400)] == a.tolist(), k
+        assert np.allclose(centres[j], c) and passes[j] == n
+    rows = {r["num_clusters"]: r for r in SW.sweep_purity(assigned, ks).collect()}
+    for j, k in enumerate(ks):
+        own = [np.bincount(y[[i for i in range(400) if got[i][j] == c]], minlength=2) for c in {v[j] for v in got.values()}]
+        assert abs(rows[k]["mean_purity"] - np.mean([n.max() / n.sum() for n in own])) < 1e-12
+    best = max(rows.values(), key=lambda r: (r["mean_purity"], -r["num_clusters"]))
+    assert [k for k, r in rows.items() if r["is_best"]] == [best["num_clusters"]]
+
+
+def test_bounds_are_true(spark):
+    """The distance to the second nearest centre is never above the true one, and close to it."""
+    rng = np.random.default_rng(1)
+    x = np.repeat(np.eye(6) * 50, 200, axis=0) + rng.normal(size=(1200, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "id long, vec array<double>, target int")
+    assigned, _, passes = SW.lloyd_sweep(df, [2], seed=1)
+    row = assigned.count()
+    assert row == 1200 and passes[0] >= 2
+    best, first, second = SW.nearest_two(x, x[:3])
+    d = np.sqrt(((x[:, None] - x[None, :3]) ** 2).sum(-1))
+    assert (best == d.argmin(1)).all() and np.allclose(first, d.min(1)) and (second <= np.sort(d, 1)[:, 1] + 1e-12).all()
+    assert np.allclose(second, np.sort(d, 1)[:, 1], atol=1e-3)
+
+
+def test_few_rows_and_none(spark):
+    df = spark.createDataFrame([(1, [0.0], 1), (2, [5.0], 0), (3, [5.0], None)], "id long, vec array<double>, target int")
+    assigned, centres, _ = SW.lloyd_sweep(df, [2, 9])
+    got = {r["id"]: r["a"] for r in assigned.collect()}
+    assert got[2] == got[3] and got[1][0] != got[2][0] and len(centres[1]) == 3
+    out = {r["num_clusters"]: (r["mean_purity"], r["is_best"]) for r in SW.sweep_purity(assigned, [2, 9]).collect()}
+    assert out == {2: (1.0, True), 9: (1.0, False)}
+    assert SW.cluster_count_sweep_lloyd(df.limit(0), 6).collect() == []
+    assert SW.sweep_counts(904) == list(range(301, 2712, 150))

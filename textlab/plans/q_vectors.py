@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ann as AN
+from ..operators import sweep as SW
 from ..operators import vectors as VX
 from .fixtures import view
 from .registry import register
@@ -123,3 +124,10 @@ def q_kmeans(spark, sf):
 @register("cluster_count_sweep", "num_clusters:i mean_purity:d is_best:i")
 def q_cluster_sweep(spark, sf):
     return VX.cluster_count_sweep(view(spark, sf, "points"), 12, seed=0, max_iter=10)
+
+
+@register("cluster_sweep_one_scan", "num_clusters:i mean_purity:d is_best:i")
+def q_cluster_sweep_one_scan(spark, sf):
+    """The sweep at the reference's settings: k0 from the rule of the keywords."""
+    k0 = VX.num_clusters_rule(view(spark, sf, "tw"), "keyword").first()["k"]
+    return SW.cluster_count_sweep_lloyd(view(spark, sf, "points"), k0)

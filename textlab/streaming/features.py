@@ -9,12 +9,15 @@ Sort, set operations, k-means, KNN and the vocabulary are batch only.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import compare as C
-from ..session import scratch_path
+from ..session import shared_dir
 
 
 def read_prediction_stream(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int = 100) -> DataFrame:
@@ -37,9 +40,11 @@ def running_error_counts(m: DataFrame, group: str) -> DataFrame:
 
 
 def start_to_parquet(df: DataFrame, path: str, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Append a stateless stream to parquet; the checkpoint goes below the
-    shared checkpoint folder unless given, so a restarted query resumes."""
-    ckpt = checkpoint or scratch_path(df.sparkSession, "stream-ckpt")
+    """Append a stateless stream to parquet. Unless given, the checkpoint is a
+    folder below the shared one that belongs to ``path``, so a restarted query
+    goes on behind what it has written there and appends nothing twice."""
+    own = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:32]
+    ckpt = checkpoint or os.path.join(shared_dir(df.sparkSession), f"textlab-stream-{own}")
     w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()

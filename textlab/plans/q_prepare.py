@@ -3,13 +3,16 @@ A19, A20)."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import prompts as PR
+from ..operators import replies as RS
 from ..operators import sample as S
 from ..operators import vocab as V
-from ..session import stage_table
+from ..session import scratch_path, stage_table
 from .fixtures import view
 from .q_compare import WS_DUCK
 from .registry import register
@@ -62,6 +65,32 @@ def q_response_parse(spark, sf):
     return PR.response_parse(view(spark, sf, "replies"))
 
 
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+REPLY_FORMS = ("1", "Answer: 0", "10", " 1.", "not sure")
+
+
+def _reply_of(prompts: list[str]) -> list[str]:
+    """The plug-in model of the fixture: a reply by the prompt's md5."""
+    return [REPLY_FORMS[int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % len(REPLY_FORMS)] for p in prompts]
+
+
+@register("reply_store", "id:i reply:s label:i",
+          f"""WITH p AS (SELECT id, replace({_sql_lit(PR.ZERO_SHOT_TEMPLATE)}, '[test_tweet]', text) AS prompt FROM tw WHERE target IS NULL),
+ r AS (SELECT id, [{', '.join(_sql_lit(r) for r in REPLY_FORMS)}][CAST(concat('0x', substr(md5(prompt), 1, 8)) AS BIGINT) % {len(REPLY_FORMS)} + 1] AS reply FROM p)
+SELECT id, reply, CASE WHEN contains(reply, '0') THEN 0 WHEN contains(reply, '1') THEN 1 END AS label FROM r""", ["tw"])
+def q_reply_store(spark, sf):
+    """Half of the prompts are asked and stored first, then the rest; labels come from the store."""
+    tw = view(spark, sf, "tw")
+    prompts = PR.prompt_build(tw.where(F.col("target").isNull()).select("id", "text"), 0, None).select("id", "prompt")
+    store = scratch_path(spark, "replies")
+    RS.ask_missing(prompts.where("id % 2 = 0"), store, _reply_of)
+    RS.ask_missing(prompts, store, _reply_of)
+    return RS.attach_replies(prompts, store).select("id", "reply", T.response_parse("reply").alias("label"))
+
+
 SHOTS_CTE = ("head AS (SELECT id, text, target, row_number() OVER (ORDER BY id) - 1 AS pos FROM "
              "(SELECT id, text, target FROM lab ORDER BY id LIMIT 25) h), "
              "shots AS (SELECT v.slot, head.id, head.text, head.target FROM head JOIN (VALUES "
@@ -74,10 +103,6 @@ def q_few_shot(spark, sf):
     return PR.few_shot_select(labelled(spark, sf), 10)
 
 
-def _sql_lit(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _prompt_sql(shots: int) -> str:
     if shots == 0:
         expr = _sql_lit(PR.ZERO_SHOT_TEMPLATE)

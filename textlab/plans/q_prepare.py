@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import prompts as PR
 from ..operators import replies as RS
 from ..operators import sample as S
+from ..operators import subword as SB
 from ..operators import vocab as V
 from ..session import scratch_path, stage_table
 from .fixtures import view
@@ -197,6 +198,15 @@ def q_vocab_encode(spark, sf):
     return enc.select("id", F.posexplode("input_ids").alias("pos", "idx"))
 
 
+@register("subword_encode", "id:i pos:i idx:i mask:i")
+def q_subword_encode(spark, sf):
+    """Sub-words learnt on the training texts (100 merges), all texts encoded to 128 ids."""
+    vocabulary, _ = SB.learn_vocabulary(train_part(spark, sf), 100)
+    rows = SB.encode(view(spark, sf, "tw"), vocabulary)
+    return rows.select("id", F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "t")).select(
+        "id", "pos", F.col("t.input_ids").alias("idx"), F.col("t.attention_mask").alias("mask"))
+
+
 @register("vocab_vectors", "idx:i dim:i value:d",
           f"""WITH {LAB}, {TRN}, {VOC},
  vv AS (SELECT v.idx, w.vec FROM voc v LEFT JOIN word_vectors w ON v.tok = w.tok)

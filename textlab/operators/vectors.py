@@ -108,8 +108,8 @@ def mean_purity(purity: DataFrame) -> DataFrame:
 
 def cluster_label_lookup(assigned: DataFrame, purity: DataFrame, cluster: str = "cluster",
                          out: str = "label") -> DataFrame:
-    """Cluster -> majority label (one row per cluster, broadcast)."""
-    return assigned.join(F.broadcast(purity.select(cluster, F.col("label").alias(out))), cluster, "left")
+    """Cluster -> majority label (one row per cluster; Spark broadcasts it where its size allows)."""
+    return assigned.join(purity.select(cluster, F.col("label").alias(out)), cluster, "left")
 
 
 def cluster_classify(train: DataFrame, queries: DataFrame, centroids: DataFrame, key: str = "id",

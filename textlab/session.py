@@ -101,6 +101,13 @@ def drop_staged(*tables: DataFrame) -> None:
             drop_path(t.sparkSession, folder)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Asks the driver's JVM for a garbage collection: Spark removes the
+    shuffle files of plans that nothing refers to any more only then, by
+    itself every half hour. For steps that shuffle much and are written out."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)

@@ -21,14 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from textlab.llm.hashing import mix, runs_of, word_hashes
+from textlab.worker import forget_worker_objects
 
 BUCKETS = 1 << 15
 FIT_ROWS = 4000          # labelled rows used at most, whatever the size of the corpus
@@ -40,7 +42,7 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 MIN_PROBABILITY = 0.2    # documents below this probability of being good are rejected
 SCALE = 50.0             # frequencies times this are the features
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 SYMBOLS = "#*$%&|<>"
 
 
@@ -158,6 +160,7 @@ PREFIX = "__quality_"  # of the appended columns, so that no column of the input
 
 def _score_batches(shared, text_col):
     def run(batches):
+        forget_worker_objects()
         model = shared.value if shared is not None else None
         for batch in batches:
             column = batch.column(text_col)
@@ -177,9 +180,14 @@ def _score_batches(shared, text_col):
     return run
 
 
+FEATURES = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+
 def _feature_batches(batches):
-    for pdf in batches:
-        texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+    """Label, fold and features, as the sparse vectors of Spark ML are laid out (type 0)."""
+    forget_worker_objects()
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
         for a, b in runs_of(texts, PIECE_CHARS):
             h, ptr, two, tptr, code, cptr = _ngram_buckets(texts[a:b])
             grams = [(_char_buckets(code, w), *_char_counts(cptr, w)) for w in (3, 4)]
@@ -192,10 +200,13 @@ def _feature_batches(batches):
                 y, ny = np.unique(chars, return_counts=True)
                 rows.append((np.concatenate([x, y + BUCKETS]),
                              SCALE * np.concatenate([nx / max(len(words), 1), ny / max(len(chars), 1)])))
-            out = pdf.iloc[a:b][["good", "fold"]].copy()
-            out["idx"] = [r[0].astype(np.int32) for r in rows]
-            out["val"] = [r[1] for r in rows]
-            yield out
+            size = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
+            index = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([r[0] for r in rows]).astype(np.int32)))
+            value = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([r[1] for r in rows])))
+            vector = pa.StructArray.from_arrays([pa.array(np.zeros(b - a, np.int8)), pa.array(np.full(b - a, 2 * BUCKETS, np.int32)),
+                                                 index, value], fields=list(FEATURES))
+            own = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([own.column("label"), own.column("fold"), vector], ["label", "fold", "features"])
 
 
 def _platt(margin, good, rounds: int = 50):
@@ -226,10 +237,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Qua
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id").where("text is not null").select(
         F.col("text").cast("string").alias("text"), "good", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATION_FOLD)) == 0).alias("fold"))
-    sparse = F.udf(lambda i, v: SparseVector(2 * BUCKETS, i, v), VectorUDT())
-    data = sample.mapInPandas(_feature_batches, "good boolean, fold boolean, idx array<int>, val array<double>").select(
-        F.col("good").cast("double").alias("label"), "fold", sparse("idx", "val").alias("features")).repartition(
-        FIT_TASKS).persist()
+    schema = StructType([StructField("label", DoubleType()), StructField("fold", BooleanType()), StructField("features", VectorUDT())])
+    data = sample.select("text", F.col("good").cast("double").alias("label"), "fold").mapInArrow(
+        _feature_batches, schema).repartition(FIT_TASKS).persist(StorageLevel.DISK_ONLY)
     try:
         seen = {(r["fold"], r["label"]): r["count"] for r in data.groupBy("fold", "label").count().collect()}
         if sum(seen.values()) < MIN_ROWS or not all(seen.get((f, y)) for f in (False, True) for y in (0.0, 1.0)):

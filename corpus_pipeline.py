@@ -1,5 +1,17 @@
 """The corpus pipeline: documents -> quality -> line dedup -> near-duplicate
-dedup -> mixing -> packed sequences. Each stage gets what the one before kept."""
+dedup -> mixing -> packed sequences. Each stage gets what the one before kept,
+written as Parquet and read again.
+
+Mixing writes its rows sorted by training position. Packing numbers sequences
+of each length in the order of the files' part numbers and of the rows in them,
+so the curriculum outlasts the write, whatever order Spark reads the files in.
+
+Null and empty texts fail the quality rules. A document without an id is never a
+near duplicate of another, loses lines after all others, and is mixed and packed
+like them (its doc_id is null). Rows equal in id and text lose the same lines,
+are near duplicates of themselves under one id and stay together; a null source
+is a source of its own. Texts of any length are worked off whole. Further
+columns, whatever their names, reach the mixing stage untouched. An empty table gives no sequences."""
 
 from __future__ import annotations
 

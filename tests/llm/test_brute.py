@@ -135,8 +135,7 @@ def test_op2(spark, texts):
         for pos, raw in enumerate(texts[i].split("\n")):
             line = raw.strip(" ").lower()
             if len(line) >= MIN_CHARS and line not in sets:
-                w = line.split(" ")
-                sets[line] = {" ".join(w[j:j + 3])[:max(SHINGLE, len(x))] for j, x in enumerate(w)}
+                sets[line] = {line[j:j + SHINGLE] for j in range(len(line) - SHINGLE + 1)}
     names = {line: n for n, line in enumerate(sets)}
     by_number = {n: sets[line] for line, n in names.items()}
     comp = components(by_number, brute_links(by_number, *SHARE))
@@ -292,7 +291,6 @@ def test_op10(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by = collections.defaultdict(list)
     rows = rows_of(spark, "op10_pack_binary")
     for r in rows:
@@ -318,7 +316,6 @@ def test_engines_agree(text):
     from textlab.llm.packing import token_ids
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     assert token_ids(text, path).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
@@ -348,3 +345,29 @@ def test_pipeline_stages(spark, texts, tmp_path):
         assert len(r["ids"]) == r["length"] and zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r["ids"])) == r["ids_crc32"]
         pieces[r["doc_id"]] += r["start"] == 0
     assert pieces == mixed
+
+
+def test_packing_keeps_the_training_order(spark, tmp_path):
+    """The order of the mixed rows, over many files, is that of the sequences of each length; every copy lies at its position."""
+    from textlab.llm.mixing import _allocate, _base, mix_rows, positions
+    from textlab.llm.packing import pack
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mix_rows(docs).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    assert len({r[0] for r in mixed.select("_metadata.file_name").distinct().collect()}) > 2
+    slim = _base(docs)
+    want = [r["doc_id"] for r in positions(_allocate(slim, slim)).orderBy("t", "rank", "copy", "order", "doc_id").collect()]
+    rows = pack(mixed).orderBy("sequence_id").collect()
+    assert [r["sequence_id"] for r in rows] == list(range(len(rows)))
+    lengths = collections.defaultdict(list)
+    for r in rows:
+        if r["length"] < 1024:
+            lengths[r["length"]].append(r["doc_id"])
+    sizes = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    for n, ids in lengths.items():
+        assert ids == [i for i in want if sizes[i] & n], n

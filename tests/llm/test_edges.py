@@ -117,3 +117,18 @@ def test_warc_edges(spark):
         (None, "revisit", 4, 0), (None, "response", None, 4), (5, "response", None, 600_000)]))
     folder = archive_folder(spark)
     assert read_archives(write_archives(pages.limit(0), folder), folder).count() == 0
+
+
+def test_pipeline_on_edge_rows_and_an_empty_table(spark, docs, labels, tmp_path):
+    """Null ids, texts and sources, repeated rows, long texts and clashing columns through all stages."""
+    import corpus_pipeline as P
+    for name, table in (("rows", docs), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    rows = P.run(spark, str(tmp_path / "rows")).collect()
+    # 2 and 3 are near copies of 1 and lose its line; the null id's only line goes too; 10 stands twice
+    assert {r["doc_id"] for r in rows} >= {1, 10} and {r["doc_id"] for r in rows} <= {None, 1, 2, 3, 10}
+    assert len({r["sequence_id"] for r in rows}) == len(rows) and all(len(r["ids"]) == r["length"] for r in rows)
+    by = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    assert by[1] > 30
+    assert P.run(spark, str(tmp_path / "none")).collect() == []

@@ -5,11 +5,14 @@ while they last, and the rest into its binary parts, longest first. A piece is
 a sequence of its own: no sequence holds two documents, every sequence has a
 length that is a power of two, and none is padded. Sequences of equal length
 are numbered one after the other, longest first, so that a trainer reads
-batches of one length.
+batches of one length; within a length, in the order of the documents.
 
-Tokenising and cutting is one Arrow pass whose output is written once; a
-sequence's number is its rank within its task plus the counts of the tasks and
-lengths before, so the pieces themselves are never shuffled or sorted.
+Tokenising and cutting is one Arrow pass whose output is written once. A run is
+a block of a file, as Spark splits it; a sequence's number is its rank within its run plus
+the counts of the runs and lengths before, so the pieces themselves are never
+shuffled or sorted. Spark reads files back in an order of its own, so runs are
+put in the order of their files' part numbers and of the blocks in a file: a sorted
+table keeps its order (of a table that is not read from Parquet, that of its partitions).
 
 The vocabulary is read from the tokenizer file that is a parameter. The ids
 come from tiktoken's engine over that vocabulary, a third of the time of the
@@ -29,7 +32,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +106,17 @@ def _cut_batches(path: str | None, with_ids: bool):
         import public_tokenizers
 
         where = path or public_tokenizers.path(TOKENIZER)
-        part, ranks = TaskContext.get().partitionId(), {}
+        file, first, ranks = None, 0, {}
         rows, held = [], 0
 
         def frame():
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "ids"])
-            out["part"] = part
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "file", "first", "ids"])
             return out if with_ids else out.drop(columns="ids")
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, text, name, block in zip(pdf["doc_id"], pdf["text"], pdf["file"], pdf["block"], strict=True):
+                if name != file or block != first:
+                    file, first, ranks = name, block, {}
                 ids = np.append(token_ids(text if isinstance(text, str) else None, where), np.uint32(END))
                 at = 0
                 for length in piece_lengths(len(ids)):
@@ -120,7 +124,7 @@ def _cut_batches(path: str | None, with_ids: bool):
                     rank = ranks.get(length, 0)
                     ranks[length] = rank + 1
                     rows.append((doc, at, length, zlib.crc32(piece.astype("<u4").tobytes()),
-                                 len(ids), rank, piece.astype(np.int32) if with_ids else None))
+                                 len(ids), rank, file, first, piece.astype(np.int32) if with_ids else None))
                     at += length
                 held += len(ids) if with_ids else 64
                 if held > FLUSH_TOKENS:
@@ -130,22 +134,32 @@ def _cut_batches(path: str | None, with_ids: bool):
     return run
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Id and text (strings) with the file and its block that each was read from, or its partition."""
+    # ids travel through pandas as strings: numbers with nulls among them would turn into floats
+    cols = [F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    try:
+        return docs.select(*cols, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    except AnalysisException:  # not read from Parquet files
+        return docs.select(*cols, F.format_string("part-%d", F.spark_partition_id()).alias("file"), F.lit(0).cast("bigint").alias("block"))
+
+
 def pack(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset (0: a sequence holds one piece) and, if wanted, ids."""
-    schema = ("doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, rank bigint, "
-              + ("ids array<int>, " if with_ids else "") + "part int")
-    # ids travel through pandas as strings: numbers with nulls among them would turn into floats
-    slim = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stage_table(slim.mapInPandas(_cut_batches(path, with_ids), schema), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    schema = ("doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, rank bigint, file string, first bigint"
+              + (", ids array<int>" if with_ids else ""))
+    run = ["length", "file", "first"]
+    pieces = stage_table(_placed(docs).mapInPandas(_cut_batches(path, with_ids), schema), "pieces")
+    counts = pieces.groupBy(*run).agg(F.count(F.lit(1)).alias("n"))
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("bigint")
+    before = Window.partitionBy("length").orderBy(number, "file", "first").rowsBetween(Window.unboundedPreceding, -1)
     longer = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per length
     totals = counts.groupBy("length").agg(F.sum("n").alias("all")).withColumn(
         "longer", F.coalesce(F.sum("all").over(longer), F.lit(0))).select("length", "longer")
-    first = stage_table(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
-        totals, "length").select("length", "part", (F.col("before") + F.col("longer")).alias("first")), "offsets")
-    out = pieces.join(first, ["length", "part"])
-    cols = [F.col("doc_id").cast("bigint").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank")).alias("sequence_id"),
+    at = stage_table(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
+        totals, "length").select(*run, (F.col("before") + F.col("longer")).alias("at")), "offsets")
+    out = pieces.join(at, run)
+    cols = [F.col("doc_id").cast("bigint").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", (F.col("at") + F.col("rank")).alias("sequence_id"),
             F.lit(0).cast("bigint").alias("offset")]
     return out.select(*cols, *(["ids"] if with_ids else []))

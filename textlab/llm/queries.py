@@ -80,6 +80,30 @@ def op13_marginal_collocations(spark, sf_dir):
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes,
+ list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+  for i in range(0, 32)], 'string_agg', '') AS payload_digest,
+ CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> best THEN best END AS refers_to
+FROM w
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)])
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(reach.c) AS component_id, s.doc_id = min(reach.c) AS kept
+FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, len(s.sh)
+"""
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -117,8 +141,8 @@ QUALIFY row_number() OVER w <= 2000
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_line_dedup": (op2_line_dedup, None),
-    "op3_warc_dictionary": (op3_warc_dictionary, None),
-    "op4_minhash_bbit": (op4_minhash_bbit, None),
+    "op3_warc_dictionary": (op3_warc_dictionary, OP3_SQL),
+    "op4_minhash_bbit": (op4_minhash_bbit, OP4_SQL),
     "op5_secret_guess_cost": (op5_secret_guess_cost, None),
     "op6_license_rare_index": (op6_license_rare_index, None),
     "op7_lm_backoff": (op7_lm_backoff, None),

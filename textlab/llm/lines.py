@@ -12,7 +12,9 @@ stays.
 Equal lines count once from the start (grouped by hash before any band is
 made). In a bucket every line is compared with one hub, in ``HUB_ROUNDS``
 rounds, only while the two are in different components; what is still apart
-then is compared in full, but for pairs that an exact bound rules out.
+then is compared in full. Of two lines to be compared, first the signatures are (a
+byte of each value): at the threshold 19 of ``ROWS * BANDS`` agree on average, and fewer
+than ``AGREE`` once in 10,000 pairs, which are then not compared further.
 
 Null ids come last in the order. Rows equal in id and text are one document
 and lose the same lines. Null texts stay null, empty ones empty. Other columns
@@ -26,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.components import components
-from textlab.session import stage_table
+from textlab.session import drop_staged, release_shuffles, stage_table
 
 MIN_CHARS = 20
 SHINGLE = 5
 ROWS, BANDS = 3, 8       # a pair at the threshold misses all bands three times in 1,000, one at 0.9 three in 100,000
 SEEDS = ROWS * BANDS // 2
 SHARE = (80, 100)
+WORDS = ROWS * BANDS // 8
+AGREE = 11
 HUB_ROUNDS = 2
+OWN = "__line_dedup_"    # of the columns that meet the caller's
 BROADCAST_KEYS = 2_000_000  # line hashes (8 bytes) or line numbers to drop that are broadcast; beyond, a shuffle join
 
 
@@ -57,7 +62,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(k, b0, b1, ...): the band keys of every distinct line that takes part.
+    """(k, b0, b1, ..., s0, s1, ...): the band keys and the packed signature of every distinct line that takes part.
 
     A shingle is a row, so shingling, hashing and the minima and maxima run in generated code
     (functions over arrays are interpreted); the minima of equal lines combine before the shuffle.
@@ -67,8 +72,15 @@ def _banded(docs: DataFrame) -> DataFrame:
     ends = shingles.groupBy("k").agg(*(
         f(F.xxhash64(F.lit(seed), "h")).alias(f"m{2 * seed + j}")
         for seed in range(SEEDS) for j, f in enumerate((F.min, F.max))))
+    byte = lambda v, at: F.shiftleft(F.shiftright(F.col(f"m{v}"), 24).bitwiseAND(F.lit(255)), 8 * at)
+    packed = []
+    for w in range(WORDS):
+        one = F.lit(0).cast("bigint")
+        for at in range(8):
+            one = one.bitwiseOR(byte(8 * w + at, at))
+        packed.append(one.alias(f"s{w}"))
     return ends.select("k", *(
-        F.xxhash64(F.lit(b), *(f"m{b + r * BANDS}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)))
+        F.xxhash64(F.lit(b), *(f"m{b + r * BANDS}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)), *packed)
 
 
 def _bucketed(banded: DataFrame) -> DataFrame:
@@ -84,68 +96,73 @@ def _small(rows: DataFrame, broadcast_keys: int) -> DataFrame:
     return F.broadcast(rows) if rows.limit(broadcast_keys + 1).count() <= broadcast_keys else rows
 
 
-def _apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    num, den = SHARE
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a").join(
-        sets.select(F.col("k").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b").select(
-        "a", "b", F.size(F.array_intersect(_hashes("la"), _hashes("lb"))).alias("m"), (F.col("na") + F.col("nb")).alias("t"))
-    return both.where(F.col("m") * den >= (F.col("t") - F.col("m")) * num).select("a", "b")
-
-
-def _parity(word: int):
-    """64 of 256 bits over the shingles ``h``: whether an odd number of them falls on each."""
-    return F.expr(f"aggregate(filter(h, x -> (x & 192) = {word * 64}), 0L, "
-                  "(acc, x) -> acc ^ shiftleft(1L, cast(x & 63 as int)))")
+def _alike(x: str, y: str):
+    """Whether the packed signatures in columns x0, x1, ... and y0, y1, ... agree in ``AGREE`` places or more."""
+    same = F.lit(0)
+    for w in range(WORDS):
+        apart = F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))
+        for at in range(8):
+            same = same + (apart.bitwiseAND(F.lit(255 << 8 * at if at < 7 else -1 << 56)) == 0).cast("int")
+    return same >= AGREE
 
 
-def _possible():
-    """Whether two lines can be linked: every bit that differs between their
-    parities needs a shingle that only one of them has, which bounds their
-    similarity from above exactly."""
+def _linked(pairs: DataFrame, docs: DataFrame, broadcast_keys: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough. Only the texts of
+    lines in a pair are gathered, not their shingles, which are many times as large."""
     num, den = SHARE
-    apart = sum((F.bit_count(F.col(f"p{w}").bitwiseXOR(F.col(f"p{w}2"))) for w in range(1, 4)),
-                F.bit_count(F.col("p0").bitwiseXOR(F.col("p02"))))
-    apart = F.greatest(apart, F.abs(F.col("n") - F.col("n2")))
-    return (F.col("n") + F.col("n2") - apart) * den >= (F.col("n") + F.col("n2") + apart) * num
+    wanted = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "line-keys")
+    texts = stage_table(_occurrences(docs).select("k", "line").join(
+        _small(wanted, broadcast_keys), "k", "left_semi").distinct(), "line-texts")
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("la")), "a").join(
+        texts.select(F.col("k").alias("b"), F.col("line").alias("lb")), "b")
+    sets = both.select("a", "b", _hashes("la").alias("ha"), _hashes("lb").alias("hb"))
+    sized = sets.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("m"), (F.size("ha") + F.size("hb")).alias("t"))
+    out = stage_table(sized.where(F.col("m") * den >= (F.col("t") - F.col("m")) * num).select("a", "b"), "line-links")
+    drop_staged(wanted, texts)
+    return out
 
 
 def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
     """(node, component) of distinct lines that are near duplicates of others."""
-    found = stage_table(_bucketed(_banded(docs)), "line-buckets")
-    wanted = stage_table(found.select("k").distinct(), "line-keys")
-    # the lines' texts are kept, not their shingles, which are many times as large
-    sets = _occurrences(docs).join(_small(wanted, broadcast_keys), "k", "left_semi").groupBy("k", "line").agg(
-        F.count(F.lit(1)).alias("copies")).select("k", "line", "copies", _hashes("line").alias("h"))
-    sets = stage_table(sets.select("k", "line", "copies", F.size("h").alias("n"), *(
-        _parity(w).alias(f"p{w}") for w in range(4))), "line-sets")
-    own = ["k", "n", *(f"p{w}" for w in range(4))]
-    members = stage_table(found.join(sets.select(*own, "copies"), "k"), "line-members")
+    spark = docs.sparkSession
+    banded = stage_table(_banded(docs), "line-bands")
+    release_shuffles(spark)
+    members = stage_table(_bucketed(banded), "line-buckets")
+    release_shuffles(spark)
+    signatures = stage_table(banded.join(members.select("k").distinct(), "k", "left_semi").select(
+        "k", *(f"s{w}" for w in range(WORDS))), "line-signatures")
+    drop_staged(banded)
+    release_shuffles(spark)
     links, joined = None, None
     for turn in range(HUB_ROUNDS + 1):
         if joined is None:
             at = members.withColumn("comp", F.col("k"))
         else:
             at = members.join(joined, members["k"] == joined["node"], "left").select(
-                "bucket", *own, "copies", F.coalesce("component", "k").alias("comp"))
+                "bucket", "k", F.coalesce("component", "k").alias("comp"))
+        open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
+            F.struct(F.col("k").alias("k2"), F.col("comp").alias("comp2")), F.xxhash64("k", F.lit(turn))).alias("hub")).where("lo < hi")
         if turn < HUB_ROUNDS:
-            # first the line with most copies, which is often what the others were edited from
-            hubs = at.groupBy("bucket").agg(
-                F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                F.max_by(F.struct("comp", *own), F.struct(
-                    F.col("copies") if not turn else F.lit(0), F.xxhash64("k", F.lit(turn)))).alias("hub")).where(
-                "lo < hi").select("bucket", *(F.col(f"hub.{c}").alias(c + "2") for c in ("comp", *own)))
-            pairs = at.join(hubs, "bucket").where((F.col("comp") != F.col("comp2")) & _possible())
+            pairs = at.join(open_.select("bucket", "hub.*"), "bucket").where(F.col("comp") != F.col("comp2")).select(
+                F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+            pairs = pairs.join(signatures.select(F.col("k").alias("a"), *(F.col(f"s{w}").alias(f"x{w}") for w in range(WORDS))), "a").join(
+                signatures.select(F.col("k").alias("b"), *(F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS))), "b")
+            pairs = pairs.where(_alike("x", "y")).select("a", "b")
         else:
-            open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-                "lo < hi").select("bucket")
-            rest = stage_table(at.join(open_, "bucket", "left_semi"), "line-rest")
-            other = rest.select("bucket", *(F.col(c).alias(c + "2") for c in ("comp", *own)))
-            pairs = rest.join(other, "bucket").where(
-                (F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & _possible())
-        new = stage_table(_apart(pairs.select(
-            F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct(), sets), "line-links")
+            rest = stage_table(at.join(open_.select("bucket"), "bucket", "left_semi").join(signatures, "k"), "line-rest")
+            other = rest.select("bucket", F.col("k").alias("k2"), F.col("comp").alias("comp2"), *(
+                F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS)))
+            pairs = rest.join(other, "bucket").where((F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & _alike("s", "y"))
+            pairs = pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
+        pairs = stage_table(pairs, "line-pairs")
+        new = _linked(pairs, docs, broadcast_keys)
+        drop_staged(pairs)
         links = new if links is None else links.union(new)
-        joined = stage_table(components(links, "a", "b"), "line-joined")
+        joined, old = stage_table(components(links, "a", "b"), "line-joined"), joined
+        if old is not None:
+            drop_staged(old)
+        release_shuffles(spark)
+    drop_staged(members, signatures, rest)
     return joined
 
 
@@ -166,16 +183,15 @@ def drop_lines(docs: DataFrame, counts: bool = False, broadcast_keys: int = BROA
     """``docs`` with near-duplicate lines removed from ``text``; its own
     columns only, or with ``n_lines`` and ``n_dropped`` (``counts``)."""
     drops = stage_table(line_drops(docs, broadcast_keys).select(
-        F.col("doc_id").alias("__id"), F.col("whole").alias("__whole"), F.col("drops").alias("__drops")), "line-drops")
-    total = drops.agg(F.sum(F.size("__drops"))).first()[0] or 0
+        F.col("doc_id").alias(OWN + "id"), F.col("whole").alias(OWN + "whole"), F.col("drops").alias(OWN + "drops")), "line-drops")
+    total = drops.agg(F.sum(F.size(OWN + "drops"))).first()[0] or 0
     drops = F.broadcast(drops) if total <= broadcast_keys else drops
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    joined = rows.join(drops, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__whole")), "left")
+    joined = docs.join(drops, F.col("doc_id").cast("bigint").eqNullSafe(F.col(OWN + "id")) & (F.xxhash64("text") == F.col(OWN + "whole")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    clean = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(
-        F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drops"), i)), "\n"))
+    clean = F.when(F.col(OWN + "drops").isNull(), F.col("text")).otherwise(F.array_join(
+        F.filter(lines, lambda x, i: ~F.array_contains(F.col(OWN + "drops"), i)), "\n"))
     cols = [clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         cols += [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-                 F.coalesce(F.size("__drops"), F.lit(0)).cast("bigint").alias("n_dropped")]
+                 F.coalesce(F.size(OWN + "drops"), F.lit(0)).cast("bigint").alias("n_dropped")]
     return joined.select(*cols)

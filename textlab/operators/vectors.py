@@ -18,8 +18,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CENTROID_VALUES = 64_000_000  # k * dim doubles shipped to every task (512 MB)
+MAX_CENTROID_VALUES = 16_000_000  # k * dim doubles shipped to every task (128 MB)
 KNN_BLOCK_ROWS = 2048             # rows per side in one distance block
+DISTANCES = 1_000_000             # distances (rows x centroids) that a task holds at a time
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -49,8 +50,8 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", v
     """Each vector's closest centroid (ties -> smaller cluster id).
 
     A centroid table of at most MAX_CENTROID_VALUES numbers (k x dim, counted)
-    is broadcast as one numpy matrix; points are scored per Arrow batch with one
-    matrix product; only rows with another centre within rounding distance of
+    is broadcast as one numpy matrix; points are scored with one matrix product
+    per block of at most DISTANCES row-centre pairs (or one row); only rows with another centre within rounding distance of
     the best are re-checked with exact differences. No shuffle. A larger table
     is searched in blocks by :func:`knn_neighbours` with k = 1, with the same
     result. A null vector gets a null cluster."""
@@ -72,15 +73,21 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str = "id", v
             known = pdf[vec].notna().to_numpy()
             x = _matrix(pdf[vec][known])
             best = np.empty(len(x), dtype=np.int64)
-            if len(x) and len(cids):
-                d2 = np.einsum("ij,ij->i", x, x)[:, None] - 2.0 * (x @ c.T) + cn[None, :]
-                tol = 1e-9 * (1.0 + np.abs(d2).max())
-                near = d2 <= (d2.min(axis=1) + tol)[:, None]   # every centre that could be the closest
-                best = cids[np.argmin(d2, axis=1)]
+            rows = max(1, DISTANCES // max(1, len(cids)))
+            for at in range(0, len(x) if len(cids) else 0, rows):
+                part = x[at: at + rows]
+                d2 = part @ c.T
+                d2 *= -2.0
+                d2 += np.einsum("ij,ij->i", part, part)[:, None]
+                d2 += cn[None, :]
+                low, own = d2.min(axis=1), np.argmin(d2, axis=1)
+                tol = 1e-9 * (1.0 + max(d2.max(), -d2.min()))
+                near = d2 <= (low + tol)[:, None]              # every centre that could be the closest
+                best[at: at + rows] = cids[own]
                 for i in np.nonzero(near.sum(axis=1) > 1)[0]:  # near-ties: exact distances, then smaller id
                     cand = np.nonzero(near[i])[0]
-                    order, _ = _exact_rank(x[i], c[cand], cids[cand])
-                    best[i] = cids[cand[order[0]]]
+                    order, _ = _exact_rank(part[i], c[cand], cids[cand])
+                    best[at + i] = cids[cand[order[0]]]
             label = pd.array([None] * len(pdf), dtype="Int32")
             if len(cids):
                 label[known] = best

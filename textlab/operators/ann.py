@@ -45,6 +45,7 @@ MAX_LISTS = 16_384
 BLOCK_ROWS = 4_096
 CODES = 256
 LEARN_ROUNDS = 15
+HELD = 2_000_000         # distances or table entries that a task holds at a time
 PROBES = 16
 RERANK = 64
 
@@ -58,11 +59,13 @@ class IvfPq:
 
     def assign(self, x: np.ndarray, n: int = 1) -> np.ndarray:
         """The n nearest lists of each row, nearest first."""
-        c = self.centroids
-        d2 = np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * x @ c.T
-        n = min(n, len(c))
-        near = np.argpartition(d2, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-        return np.take_along_axis(near, np.argsort(np.take_along_axis(d2, near, 1), axis=1, kind="stable"), 1)
+        c, n = self.centroids, min(n, len(self.centroids))
+        out, square = np.empty((len(x), n), np.int64), np.einsum("ij,ij->i", c, c)[None, :]
+        for s in slices(len(x), len(c)):
+            d2 = square - 2.0 * x[s] @ c.T
+            near = np.argpartition(d2, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(d2), 1))
+            out[s] = np.take_along_axis(near, np.argsort(np.take_along_axis(d2, near, 1), axis=1, kind="stable"), 1)
+        return out
 
     def pieces(self, x: np.ndarray) -> np.ndarray:
         """Sub-vectors (parts, rows, width); a short last one is filled with zeros."""
@@ -75,12 +78,23 @@ class IvfPq:
         """Code words' numbers (rows, parts) of what is left after the centroid."""
         out = np.empty((len(rest), len(self.words)), np.uint8)
         for m, (p, w) in enumerate(zip(self.pieces(rest), self.words)):
-            out[:, m] = np.argmin(np.einsum("ij,ij->i", w, w)[None, :] - 2.0 * p @ w.T, axis=1)
+            for s in slices(len(rest), len(w)):
+                out[s, m] = np.argmin(np.einsum("ij,ij->i", w, w)[None, :] - 2.0 * p[s] @ w.T, axis=1)
         return out
 
     def tables(self, rest: np.ndarray) -> np.ndarray:
         """Squared distances (rows, parts, codes) of sub-vectors to code words."""
-        return np.stack([((p[:, None, :] - w[None]) ** 2).sum(-1) for p, w in zip(self.pieces(rest), self.words)], axis=1)
+        out = np.empty((len(rest), *self.words.shape[:2]))
+        for m, (p, w) in enumerate(zip(self.pieces(rest), self.words)):
+            for s in slices(len(rest), w.size):
+                out[s, m] = ((p[s, None, :] - w[None]) ** 2).sum(-1)
+        return out
+
+
+def slices(rows: int, wide: int) -> list[slice]:
+    """Blocks of rows that hold at most ``HELD`` entries, ``wide`` a row (or one row)."""
+    some = max(1, HELD // max(1, wide))
+    return [slice(at, min(rows, at + some)) for at in range(0, rows, some)]
 
 
 def _matrix(column) -> np.ndarray:
@@ -95,15 +109,17 @@ def learn_words(x: np.ndarray, codes: int, rounds: int = LEARN_ROUNDS, seed: int
     w[: min(codes, len(x))] = x[rng.permutation(len(x))[:codes]]
     w[min(codes, len(x)):] = x[0] if len(x) else 0
     for _ in range(rounds):
-        d2 = np.concatenate([((a[:, None, :] - w[None]) ** 2).sum(-1) for a in np.array_split(x, max(1, len(x) // 4096))])
-        best = d2.argmin(axis=1)
+        best, off = np.empty(len(x), np.int64), np.empty(len(x))
+        for s in slices(len(x), w.size):
+            d2 = ((x[s, None, :] - w[None]) ** 2).sum(-1)
+            best[s], off[s] = d2.argmin(axis=1), d2.min(axis=1)
         size = np.bincount(best, minlength=codes)
         total = np.zeros_like(w)
         np.add.at(total, best, x)
         used = size > 0
         w[used] = total[used] / size[used, None]
         empty = np.flatnonzero(~used)
-        worst = np.argsort(-d2[np.arange(len(x)), best], kind="stable")[: len(empty)]
+        worst = np.argsort(-off, kind="stable")[: len(empty)]
         w[empty[: len(worst)]] = x[worst]
     return w
 
@@ -130,8 +146,9 @@ def fit_index(base: DataFrame, parts: int = 16, key: str = "id", vec: str = "vec
     def split(batches):
         model = IvfPq(**shared.value)
         for b in batches:
-            x = _matrix(b.column("vec"))
-            if len(x):
+            rows = _matrix(b.column("vec"))
+            for s in slices(len(rows), rows.shape[1]):
+                x = rows[s]
                 p = model.pieces(x - model.centroids[model.assign(x)[:, 0]])
                 yield pd_batch(np.repeat(np.arange(len(p)), len(x)), p.reshape(-1, p.shape[2]))
 
@@ -179,11 +196,10 @@ def search_index(index: DataFrame, model: IvfPq, queries: DataFrame, base: DataF
     def probe(batches):
         m = IvfPq(**shared.value)
         for b in batches:
-            x = _matrix(b.column("vec"))
-            if len(x):
-                near = m.assign(x, probes)
-                at = np.repeat(np.arange(len(x)), near.shape[1])
-                own = b.take(pa.array(at))
+            rows = _matrix(b.column("vec"))
+            for s in slices(len(rows), probes * rows.shape[1]):
+                near = m.assign(rows[s], probes)
+                own = b.take(pa.array(np.repeat(np.arange(s.start, s.stop), near.shape[1])))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(near.ravel().astype(np.int32))], ["qid", "qvec", "list"])
 
     asked = queries.where(F.col(vec).isNotNull()).select(F.col(key).alias("qid"), F.col(vec).cast("array<double>").alias("vec"))
@@ -201,13 +217,14 @@ def search_index(index: DataFrame, model: IvfPq, queries: DataFrame, base: DataF
             return pd.DataFrame({"qid": [], "bid": [], "near": []})
         m, keep = IvfPq(**shared.value), min(rerank, len(c))
         code = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
-        table = m.tables(np.stack(q["qvec"].to_numpy()) - m.centroids[int(q["list"].iloc[0])])
-        qids, bids, out = q["qid"].to_numpy(), c["bid"].to_numpy(), []
-        for i, t in enumerate(table):
-            d2 = t[np.arange(code.shape[1])[:, None], code.T].sum(axis=0)
-            at = np.argpartition(d2, keep - 1)[:keep] if keep < len(d2) else np.arange(len(d2))
-            out.append(pd.DataFrame({"qid": np.repeat(qids[i: i + 1], keep), "bid": bids[at], "near": d2[at]}))
-        return pd.concat(out)
+        rest = np.stack(q["qvec"].to_numpy()) - m.centroids[int(q["list"].iloc[0])]
+        found, near = np.empty((len(q), keep), np.int64), np.empty((len(q), keep))
+        for s in slices(len(q), m.words.shape[0] * m.words.shape[1]):
+            for i, t in enumerate(m.tables(rest[s]), s.start):
+                d2 = t[np.arange(code.shape[1])[:, None], code.T].sum(axis=0)
+                found[i] = np.argpartition(d2, keep - 1)[:keep] if keep < len(d2) else np.arange(len(d2))
+                near[i] = d2[found[i]]
+        return pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), keep), "bid": c["bid"].to_numpy()[found.ravel()], "near": near.ravel()})
 
     found = ask.groupBy("list", "block", "grp").cogroup(codes.groupBy("list", "block", "grp")).applyInPandas(
         best, f"qid {qkind}, bid {bkind}, near double")

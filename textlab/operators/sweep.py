@@ -34,6 +34,7 @@ from ..session import drop_path, scratch_path, stage_table
 MAX_CENTRE_VALUES = 32_000_000   # numbers of all centres together that are broadcast
 GROUP = 64                       # clusters whose sums one group adds up
 ROWS_AT_A_TIME = 512
+TASK_ROWS = 50_000               # rows of a task, at most on average
 SLACK = 1e-9                     # relative rounding that a bound allows for
 
 ROW = "task int, which int, cluster int, n bigint, moved bigint, total array<double>"
@@ -61,9 +62,16 @@ def nearest_two(x: np.ndarray, c: np.ndarray):
         error = SLACK * (1.0 + np.abs(d2).max(initial=0.0))
         close = d2 <= (d2.min(axis=1) + error)[:, None]
         own = d2.argmin(axis=1)
-        for i in np.flatnonzero(close.sum(axis=1) > 1):
-            some = np.flatnonzero(close[i])
-            own[i] = some[((c[some] - part[i]) ** 2).sum(axis=1).argmin()]
+        tied = np.flatnonzero(close.sum(axis=1) > 1)
+        left = close[tied]                        # candidates of these rows, the nearest so far, its distance
+        nearest = np.full(len(tied), np.inf)
+        while left.any():                         # one more candidate of every such row, smaller numbers first
+            which, some = np.flatnonzero(left.any(axis=1)), left.argmax(axis=1)
+            some = some[which]
+            left[which, some] = False
+            off = ((c[some] - part[tied[which]]) ** 2).sum(axis=1)
+            better = off < nearest[which]
+            own[tied[which[better]]], nearest[which[better]] = some[better], off[better]
         rows = np.arange(len(part))
         d2[rows, own] = np.inf
         s = slice(at, at + len(part))
@@ -105,8 +113,9 @@ def _step(shared, first: bool):
                     best, u[again, j], low[again, j] = nearest_two(x[again], c)
                     moved[j] += int((best != a[again, j]).sum())
                     a[again, j] = best
-                np.add.at(total[j], a[:, j], x)
-                size[j] += np.bincount(a[:, j], minlength=len(c))
+                used, n_used, sums = sums_by(a[:, j], x)
+                total[j][used] += sums
+                size[j][used] += n_used
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in ("id", "target")), b.column("x"), _lists(a, np.int32), _lists(u, np.float64), _lists(low, np.float64),
                  *(pa.nulls(n, t) for t in KINDS.values())], ["id", "target", "x", "a", "u", "l", *KINDS])
@@ -118,6 +127,13 @@ def _step(shared, first: bool):
     return run
 
 
+def sums_by(group: np.ndarray, x: np.ndarray):
+    """The groups that occur, in order, with their numbers of rows and sums of rows (added in their order)."""
+    order = np.argsort(group, kind="stable")
+    used, at, n = np.unique(group[order], return_index=True, return_counts=True)
+    return used, n, np.add.reduceat(x[order], at, axis=0) if len(at) else x[:0]
+
+
 KINDS = {"task": pa.int32(), "which": pa.int32(), "cluster": pa.int32(), "n": pa.int64(), "moved": pa.int64(),
          "total": pa.list_(pa.float64())}
 
@@ -131,14 +147,14 @@ def _sums(task, j, used, size, moved, total):
 
 def _add_up(table: pa.Table) -> pa.Table:
     """Sums of a group of clusters over the tasks, in their order."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["cluster"], r["task"]))
-    out: dict = {}
-    for r in rows:
-        own = out.setdefault(r["cluster"], dict(r, n=0, moved=0, total=np.zeros(len(r["total"]))))
-        own["n"] += r["n"]
-        own["moved"] += r["moved"]
-        own["total"] += np.asarray(r["total"])
-    return pa.Table.from_pylist([dict(r, total=r["total"].tolist()) for r in out.values()], schema=pa.schema(list(KINDS.items())))
+    table = table.sort_by([("cluster", "ascending"), ("task", "ascending")]).combine_chunks()
+    cluster = table.column("cluster").to_numpy()
+    used, at = np.unique(cluster, return_index=True)
+    _, _, total = sums_by(cluster, _matrix(table.column("total").combine_chunks()))
+    n, moved = (np.add.reduceat(table.column(c).to_numpy(), at) for c in ("n", "moved"))
+    first = [table.column(c).to_numpy()[at] for c in ("task", "which")]
+    return pa.Table.from_arrays([*map(pa.array, first), pa.array(used), pa.array(n), pa.array(moved), _lists(total, np.float64)],
+                                schema=pa.schema(list(KINDS.items())))
 
 
 def _half_gaps(c: np.ndarray) -> np.ndarray:
@@ -150,8 +166,10 @@ def lloyd_sweep(points: DataFrame, ks: list[int], seed: int = 0, key: str = "id"
                 max_iter: int = 300) -> tuple[DataFrame, list[np.ndarray], list[int]]:
     """All counts of ``ks``: rows (id, target, a: the cluster under each count), the centres and the passes of each count."""
     spark = points.sparkSession
+    # dealt out, as all passes go over these files: a file of one row group would be one task's
+    tasks = max(spark.sparkContext.defaultParallelism, points.count() // TASK_ROWS)
     rows = stage_table(points.where(F.col(vec).isNotNull()).select(
-        F.col(key).alias("id"), F.col(target).cast("int").alias("target"), F.col(vec).cast("array<double>").alias("x")), "points")
+        F.col(key).alias("id"), F.col(target).cast("int").alias("target"), F.col(vec).cast("array<double>").alias("x")).repartition(tasks), "points")
     most = max(ks, default=0)
     d = rows.agg(F.max(F.size("x"))).first()[0] or 0
     if sum(ks) * d > MAX_CENTRE_VALUES:
@@ -170,7 +188,10 @@ def lloyd_sweep(points: DataFrame, ks: list[int], seed: int = 0, key: str = "id"
         state.mapInArrow(_rows_of(_step(shared, turn == 0), [part.split()[0] for part in schema.split(", ")]), schema).write.parquet(new)
         both = spark.read.schema(schema).parquet(new)
         sums = both.where("which is not null").select(*KINDS).groupBy("which", F.floor(F.col("cluster") / GROUP)).applyInArrow(_add_up, ROW)
-        found = sums.collect()  # a row per cluster
+        found = sums.toArrow().combine_chunks()  # a row per cluster
+        which, cluster, n, moved = (found.column(c).to_numpy() for c in ("which", "cluster", "n", "moved"))
+        total = found.column("total").combine_chunks()
+        total = _matrix(total)
         state = both.where("which is null").drop(*KINDS)
         if path:
             drop_path(spark, path)
@@ -180,17 +201,17 @@ def lloyd_sweep(points: DataFrame, ks: list[int], seed: int = 0, key: str = "id"
                 drift[j] = np.zeros(len(c))
                 continue
             passes[j] += 1
-            mine = [r for r in found if r["which"] == j]
+            mine = which == j
             nxt, full = c.copy(), np.zeros(len(c), bool)
-            for r in mine:
-                nxt[r["cluster"]] = np.asarray(r["total"]) / r["n"]
-                full[r["cluster"]] = True
+            if mine.any():
+                nxt[cluster[mine]] = total[mine] / n[mine, None]
+                full[cluster[mine]] = True
             empty = np.flatnonzero(~full)
             seeded = False
             if len(empty):
                 for e, x in zip(empty, _farthest(state, j, c, len(empty))):
                     nxt[e], seeded = x, True
-            open_[j] = seeded or sum(r["moved"] for r in mine) > 0
+            open_[j] = seeded or moved[mine].sum() > 0
             drift[j] = np.sqrt(((nxt - c) ** 2).sum(axis=1))
             centres[j] = nxt
         shared.unpersist()

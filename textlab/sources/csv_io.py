@@ -9,7 +9,7 @@ Writers never ``coalesce(1)``: a table is a folder of part files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LABELLED_SCHEMA = "id LONG, keyword STRING, location STRING, text STRING, target INT"
@@ -84,11 +84,14 @@ def read_word_vectors(spark: SparkSession, paths, dim: int | None = None) -> Dat
 
 def write_word_vectors(df: DataFrame, path: str, tok: str = "tok", vec: str = "vec") -> None:
     """Write (tok, vec) in the text format; the 'count dim' header line is a
-    separate one-line part file (count and dim are two scalars)."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    separate one-line part file (count and dim are two scalars, taken as the
+    rows are written: ``df`` is computed once)."""
+    counted = Observation()
+    df = df.observe(counted, F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d"))
     body = df.select(F.concat_ws(" ", F.col(tok),
                                  F.array_join(F.transform(vec, lambda x: x.cast("float").cast("string")), " "))
                      .alias("value"))
     body.write.mode("overwrite").text(path)
+    stats = counted.get
     df.sparkSession.createDataFrame([(f"{stats['n']} {stats['d']}",)], "value STRING") \
         .write.mode("append").text(path)

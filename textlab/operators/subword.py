@@ -25,11 +25,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import drop_staged, stage_table
+from ..session import drop_staged, spread, stage_table
 
 SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 CONTINUED = "##"
@@ -39,7 +40,7 @@ LONGEST_WORD = 100
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) of the lower-cased words and punctuation marks."""
-    words = texts.select(F.explode(T.tokenize_words(F.lower(F.col(text)))).alias("word"))
+    words = spread(texts.select(text)).select(F.explode(T.tokenize_words(F.lower(F.col(text)))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -77,11 +78,24 @@ def certain_merges(top: list[tuple], floor: int) -> list[tuple[str, str]]:
     return taken
 
 
+def with_pair(symbols: pa.ListArray, pairs: dict) -> np.ndarray:
+    """Whether each row holds one of the pairs, none of which shares a symbol with another."""
+    hit, flat = np.zeros(len(symbols), bool), symbols.flatten()
+    if len(flat) < 2:
+        return hit
+    ends = [pc.fill_null(pc.index_in(flat, pa.array([p[i] for p in pairs], pa.string())), -1 - i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+    row = np.repeat(np.arange(len(symbols)), pc.fill_null(pc.list_value_length(symbols), 0).to_numpy(zero_copy_only=False))
+    hit[row[:-1][(ends[0][:-1] == ends[1][1:]) & (row[:-1] == row[1:])]] = True
+    return hit
+
+
 def _merge_batches(pairs: dict):
     def run(batches):
         for b in batches:
-            symbols = [merged(s, pairs) for s in b.column("symbols").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.string())), b.column("n")], ["symbols", "n"])
+            hit = with_pair(b.column("symbols"), pairs)
+            symbols = [merged(s, pairs) for s in b.column("symbols").filter(pa.array(hit)).to_pylist()]
+            yield b.filter(pa.array(~hit))
+            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.string())), b.column("n").filter(pa.array(hit))], ["symbols", "n"])
     return run
 
 
@@ -165,8 +179,10 @@ def encode(df: DataFrame, vocabulary: list[str], key: str = "id", text: str = "t
     if max_len < special:
         raise ValueError(f"max_len {max_len} has no room for {special} special tokens")
     pad, _, start, stop = range(len(SPECIAL))
-    columns = [F.col(key).alias("key")] + [T.tokenize_words(F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(n)
-                                           for c, n in ((text, "a"), (pair, "b")) if c]
+    # every word has an id or more, and what a text has beyond the room is cut: no more words than that are needed
+    columns = ["key"] + [F.slice(T.tokenize_words(F.lower(n)), 1, max_len - special).alias(n) if max_len > special else F.array().cast("array<string>").alias(n)
+                         for c, n in ((text, "a"), (pair, "b")) if c]
+    texts = spread(df.select(F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "a"), (pair, "b")) if c)))
 
     def run(batches):
         tries, known = trie_of(shared.value), {}
@@ -188,7 +204,7 @@ def encode(df: DataFrame, vocabulary: list[str], key: str = "id", text: str = "t
             a = batch.column("a").to_pylist()
             b = batch.column("b").to_pylist() if pair else [None] * n
             for i in range(n):
-                x, y = cut_pair(ids(a[i]), ids(b[i]) if pair else None, max_len - special)
+                x, y = cut_pair(ids(a[i])[: max_len - special], ids(b[i])[: max_len - special] if pair else None, max_len - special)
                 row = [start, *x, stop] + ([*y, stop] if y is not None else [])
                 out[i, : len(row)], mask[i, : len(row)] = row, 1
                 kind[i, len(x) + 2: len(row)] = 1
@@ -196,4 +212,4 @@ def encode(df: DataFrame, vocabulary: list[str], key: str = "id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.ListArray.from_arrays(offsets, pa.array(m.ravel())) for m in (out, mask, kind))],
                                              [key, "input_ids", "attention_mask", "token_type_ids"])
     kind = df.schema[key].dataType.simpleString()
-    return df.select(*columns).mapInArrow(run, f"`{key}` {kind}, input_ids array<int>, attention_mask array<int>, token_type_ids array<int>")
+    return texts.select(*columns).mapInArrow(run, f"`{key}` {kind}, input_ids array<int>, attention_mask array<int>, token_type_ids array<int>")

@@ -142,27 +142,39 @@ def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
                 "bucket", "k", F.coalesce("component", "k").alias("comp"))
         open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
             F.struct(F.col("k").alias("k2"), F.col("comp").alias("comp2")), F.xxhash64("k", F.lit(turn))).alias("hub")).where("lo < hi")
+        rest = at.join(open_.select("bucket", "hub.*"), "bucket")
+        if turn:
+            # components only grow together: a bucket that is one by now stays one, and is left out of the next turns
+            rest, old = stage_table(rest, "line-rest"), members
+            members = rest.select("bucket", "k")
+            drop_staged(old)
+            release_shuffles(spark)
         if turn < HUB_ROUNDS:
-            pairs = at.join(open_.select("bucket", "hub.*"), "bucket").where(F.col("comp") != F.col("comp2")).select(
+            pairs = rest.where(F.col("comp") != F.col("comp2")).select(
                 F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
             pairs = pairs.join(signatures.select(F.col("k").alias("a"), *(F.col(f"s{w}").alias(f"x{w}") for w in range(WORDS))), "a").join(
                 signatures.select(F.col("k").alias("b"), *(F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS))), "b")
             pairs = pairs.where(_alike("x", "y")).select("a", "b")
         else:
-            rest = stage_table(at.join(open_.select("bucket"), "bucket", "left_semi").join(signatures, "k"), "line-rest")
-            other = rest.select("bucket", F.col("k").alias("k2"), F.col("comp").alias("comp2"), *(
+            signed = stage_table(rest.select("bucket", "k", "comp").join(signatures, "k"), "line-signed")
+            drop_staged(rest, signatures)
+            other = signed.select("bucket", F.col("k").alias("k2"), F.col("comp").alias("comp2"), *(
                 F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS)))
-            pairs = rest.join(other, "bucket").where((F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & _alike("s", "y"))
+            pairs = signed.join(other, "bucket").where((F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & _alike("s", "y"))
             pairs = pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
         pairs = stage_table(pairs, "line-pairs")
+        if turn == HUB_ROUNDS:
+            drop_staged(signed)
+        release_shuffles(spark)
         new = _linked(pairs, docs, broadcast_keys)
         drop_staged(pairs)
+        release_shuffles(spark)
         links = new if links is None else links.union(new)
         joined, old = stage_table(components(links, "a", "b"), "line-joined"), joined
         if old is not None:
             drop_staged(old)
         release_shuffles(spark)
-    drop_staged(members, signatures, rest)
+    drop_staged(links)
     return joined
 
 

@@ -2,9 +2,11 @@
 
 Lines of at least ``MIN_CHARS`` characters (lower-cased, trimmed) take part;
 shorter ones always stay. A line's shingles are the ``SHINGLE`` characters from
-every position, spaces and all. The signature holds the
-minimum and the maximum of the shingles' 64-bit hashes under ``SEEDS`` seeds,
-that is two MinHash values a hash; ``ROWS`` of them make a band. Lines that share a band are candidates; exact Jaccard similarity of the
+every position, spaces and all, cut out of the line's code points in UTF-32 (fixed width). The universe of
+shingles is dealt into ``GROUPS`` groups by hash. The signature holds, of each group, the
+minimum and the maximum of the shingles' 32-bit hashes under ``SEEDS`` multiplications modulo 2^32,
+that is two MinHash values a multiplier (of the line's part in the group: every shingle counts in one group, and pairs at a
+similarity have it in the groups on average); ``ROWS`` of them make a band. Lines that share a band are candidates; exact Jaccard similarity of the
 full shingle sets confirms them at ``SHARE``; distributed union-find over the
 links gives components, and the first line by (doc_id, line number) of each
 stays.
@@ -16,6 +18,14 @@ then is compared in full. Of two lines to be compared, first the signatures are
 byte of each value): at the threshold 19 of ``ROWS * BANDS`` agree on average, and fewer
 than ``AGREE`` once in 10,000 pairs, which are then not compared further.
 
+For the full comparison a bucket of more than ``WHOLE`` lines is dealt by ten
+pairs of the values outside its band: two lines at the threshold agree in none
+of them four times in 100,000. Lines that are like none of another component leave. For the
+others the size of the shingle set and its parities (``PARITY`` words; a
+shingle flips one bit) are counted, which bound the similarity exactly: sets
+that differ in d shingles differ in at most d bits. Only pairs that the bounds leave are written and confirmed, so lines
+that are alike, yet not near copies, make no rows in pairs.
+
 Null ids come last in the order. Rows equal in id and text are one document
 and lose the same lines. Null texts stay null, empty ones empty. Other columns
 pass through; an empty table gives an empty result. Lines are identified by
@@ -33,22 +43,29 @@ from textlab.session import drop_staged, release_shuffles, stage_table
 MIN_CHARS = 20
 SHINGLE = 5
 ROWS, BANDS = 3, 8       # a pair at the threshold misses all bands three times in 1,000, one at 0.9 three in 100,000
-SEEDS = ROWS * BANDS // 2
+GROUPS = BANDS // 2      # two bands each
+VALUES = ROWS * BANDS // GROUPS
+SEEDS = VALUES // 2
 SHARE = (80, 100)
-WORDS = ROWS * BANDS // 8
+WORDS = GROUPS            # of the packed signature, a byte a value
+LOW = (1 << 32) - 1
+MULTIPLIERS = (1640531527, 1190494759, 2146121005)  # odd: hash * multiplier modulo 2^32 is a permutation; below 2^31: no product overflows
 AGREE = 11
+WHOLE = 64               # lines of a bucket compared without dealing it further
+PARITY = 16              # 64-bit words
 HUB_ROUNDS = 2
 OWN = "__line_dedup_"    # of the columns that meet the caller's
 BROADCAST_KEYS = 2_000_000  # line hashes (8 bytes) or line numbers to drop that are broadcast; beyond, a shuffle join
 
 
-# the shingles of a line in order and with repeats: one pass (substring would count from the line's start each time)
-def _shingles(line: str):
-    return F.expr(f"regexp_extract_all({line}, '(?s)(?=(.{{{SHINGLE}}})).', 1)")
+WIDE = "encode({line}, 'UTF-32')"  # four bytes a character: a shingle is found without counting from the line's start
 
 
 def _hashes(line: str):
-    return F.array_distinct(F.transform(_shingles(line), lambda x: F.xxhash64(x)))
+    """Hashes of the distinct shingles of a line."""
+    # an array of one, so that the line is encoded once and not for every shingle
+    return F.expr(f"array_distinct(transform(array({WIDE.format(line=line)}), w -> transform(sequence(0, length(w) div 4 - {SHINGLE}), "
+                  f"i -> xxhash64(substring(w, 4 * i + 1, {4 * SHINGLE}))))[0])")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -65,30 +82,34 @@ def _banded(docs: DataFrame) -> DataFrame:
     """(k, b0, b1, ..., s0, s1, ...): the band keys and the packed signature of every distinct line that takes part.
 
     A shingle is a row, so shingling, hashing and the minima and maxima run in generated code
-    (functions over arrays are interpreted); the minima of equal lines combine before the shuffle.
+    (functions over arrays are interpreted), and it changes the values of its group alone; the minima of
+    equal lines combine before the shuffle. A group without shingles of the line has null bands.
     No line is without shingles; "outer" only spares the filter for that, which would cut every line again."""
-    shingles = _occurrences(docs).select("k", F.explode_outer(_shingles("line")).alias("x")).select(
-        "k", F.xxhash64("x").alias("h"))
-    ends = shingles.groupBy("k").agg(*(
-        f(F.xxhash64(F.lit(seed), "h")).alias(f"m{2 * seed + j}")
+    wide = _occurrences(docs).select("k", F.expr(WIDE.format(line="line")).alias("wide"))
+    shingles = wide.select("k", "wide", F.explode_outer(F.expr(f"sequence(0, length(wide) div 4 - {SHINGLE})")).alias("i")).select(
+        "k", F.expr(f"xxhash64(substring(wide, 4 * i + 1, {4 * SHINGLE}))").alias("x")).select(
+        "k", F.shiftright("x", 32).bitwiseAND(F.lit(GROUPS - 1)).alias("g"), F.col("x").bitwiseAND(F.lit(LOW)).alias("h"))
+    ends = shingles.groupBy("k", "g").agg(*(
+        f((F.col("h") * F.lit(MULTIPLIERS[seed])).bitwiseAND(F.lit(LOW))).alias(f"m{2 * seed + j}")
         for seed in range(SEEDS) for j, f in enumerate((F.min, F.max))))
-    byte = lambda v, at: F.shiftleft(F.shiftright(F.col(f"m{v}"), 24).bitwiseAND(F.lit(255)), 8 * at)
-    packed = []
-    for w in range(WORDS):
-        one = F.lit(0).cast("bigint")
-        for at in range(8):
-            one = one.bitwiseOR(byte(8 * w + at, at))
-        packed.append(one.alias(f"s{w}"))
-    return ends.select("k", *(
-        F.xxhash64(F.lit(b), *(f"m{b + r * BANDS}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)), *packed)
+    word = F.lit(0).cast("bigint")
+    for at in range(VALUES):
+        word = word.bitwiseOR(F.shiftleft(F.xxhash64(f"m{at}").bitwiseAND(F.lit(255)), 8 * at))
+    # the values of the group's two bands take turns
+    parts = ends.select("k", "g", *(F.xxhash64("g", F.lit(j), *(f"m{j + 2 * r}" for r in range(ROWS))).alias(f"b{j}") for j in range(2)),
+                        word.alias("s"))
+    of = lambda column, g: F.max(F.when(F.col("g") == g, F.col(column)))
+    return parts.groupBy("k").agg(*(of(f"b{b % 2}", b // 2).alias(f"b{b}") for b in range(BANDS)),
+                                  *(F.coalesce(of("s", w), F.lit(0)).alias(f"s{w}") for w in range(WORDS)))
 
 
 def _bucketed(banded: DataFrame) -> DataFrame:
-    """(bucket, k) for every band of every distinct line that shares it with another line."""
-    dealt = banded.select("k", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket")).repartition("bucket")
+    """(bucket, band, k) for every band of every distinct line that shares it with another line."""
+    dealt = banded.select("k", F.posexplode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band", "bucket")).where(
+        "bucket is not null").repartition("bucket")
     # the same shuffle serves the grouping and the join (a semi join would be moved below it, and shuffle again)
     shared = dealt.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("bucket")
-    return dealt.join(shared, "bucket")
+    return dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "band", "k")
 
 
 def _small(rows: DataFrame, broadcast_keys: int) -> DataFrame:
@@ -101,8 +122,8 @@ def _alike(x: str, y: str):
     same = F.lit(0)
     for w in range(WORDS):
         apart = F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))
-        for at in range(8):
-            same = same + (apart.bitwiseAND(F.lit(255 << 8 * at if at < 7 else -1 << 56)) == 0).cast("int")
+        for at in range(VALUES):
+            same = same + (apart.bitwiseAND(F.lit(255 << 8 * at)) == 0).cast("int")
     return same >= AGREE
 
 
@@ -111,8 +132,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, broadcast_keys: int) -> DataFrame
     lines in a pair are gathered, not their shingles, which are many times as large."""
     num, den = SHARE
     wanted = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "line-keys")
-    texts = stage_table(_occurrences(docs).select("k", "line").join(
-        _small(wanted, broadcast_keys), "k", "left_semi").distinct(), "line-texts")
+    texts = stage_table(_texts(docs, wanted, broadcast_keys), "line-texts")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("k").alias("b"), F.col("line").alias("lb")), "b")
     sets = both.select("a", "b", _hashes("la").alias("ha"), _hashes("lb").alias("hb"))
@@ -122,6 +142,78 @@ def _linked(pairs: DataFrame, docs: DataFrame, broadcast_keys: int) -> DataFrame
     return out
 
 
+def _sign(band: int, row: int):
+    """A value's byte in the packed signature."""
+    return F.shiftright(f"s{band // 2}", 8 * (band % 2 + 2 * row)).bitwiseAND(F.lit(255))
+
+
+def _dealt(signed: DataFrame) -> DataFrame:
+    """``signed`` with (part) for (bucket, band): small buckets are one part; of a larger one's parts, each is
+    the lines that also agree in two values outside the band. Parts that are one component are left out."""
+    names = ["k", "comp", *(f"s{w}" for w in range(WORDS))]
+    counted = signed.join(signed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    two = [F.when(F.col("band") != b, F.xxhash64("bucket", F.lit(b), _sign(b, 0), _sign(b, 1))) for b in range(BANDS)]
+    two += [F.when(F.expr(f"band div 2 != {g}"), F.xxhash64("bucket", F.lit(BANDS + g), _sign(2 * g, 2), _sign(2 * g + 1, 2)))
+            for g in range(GROUPS)]
+    parts = F.when(F.col("n") <= WHOLE, F.array("bucket")).otherwise(F.array_compact(F.array(*two)))
+    dealt = counted.select(F.explode(parts).alias("part"), *names).repartition("part")
+    apart = dealt.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("part")
+    return dealt.join(apart.hint("shuffle_hash"), "part").select("part", *names)
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    """The same rows as the other side of a comparison."""
+    names = {"k": "k2", "comp": "comp2", "n": "n2"} | {f"s{w}": f"y{w}" for w in range(WORDS)} | {f"p{w}": f"q{w}" for w in range(PARITY)}
+    return rows.select(*(F.col(c).alias(names.get(c, c)) for c in rows.columns))
+
+
+def _texts(docs: DataFrame, keys: DataFrame, broadcast_keys: int) -> DataFrame:
+    """(k, line), once each, of the lines in ``keys``."""
+    return _occurrences(docs).select("k", "line").join(_small(keys, broadcast_keys), "k", "left_semi").dropDuplicates(["k"])
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(k, n, p0, p1, ...): the size of a line's shingle set and its parities."""
+    one = texts.select("k", F.explode(_hashes("line")).alias("h"))
+    bit = F.expr("shiftleft(1L, int(h & 63))")
+    return one.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *(
+        F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(PARITY - 1)) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"p{w}")
+        for w in range(PARITY)))
+
+
+def _near():
+    """Whether the set sizes and parities leave room for the similarity ``SHARE``: sets of n and n2 shingles
+    that have it differ in at most (n + n2) * (den - num) / (den + num)."""
+    num, den = SHARE
+    flips = F.lit(0)
+    for w in range(PARITY):
+        flips = flips + F.bit_count(F.col(f"p{w}").bitwiseXOR(F.col(f"q{w}")))
+    sizes = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)
+    return sizes & (flips * (den + num) <= (F.col("n") + F.col("n2")) * (den - num))
+
+
+def _apart_pairs(signed: DataFrame, docs: DataFrame, broadcast_keys: int) -> DataFrame:
+    """(a, b), staged: pairs of lines of a bucket and of different components that may be near copies."""
+    spark = signed.sparkSession
+    dealt = stage_table(_dealt(signed), "line-dealt")
+    release_shuffles(spark)
+    differ = F.col("comp") != F.col("comp2")
+    like = stage_table(dealt.join(_other(dealt).withColumnRenamed("part", "part2"),
+                                  (F.col("part") == F.col("part2")) & differ & _alike("s", "y"), "left_semi"), "line-like")
+    drop_staged(dealt)
+    release_shuffles(spark)
+    keys = stage_table(like.select("k").distinct(), "line-keys")
+    parities = stage_table(_parities(_texts(docs, keys, broadcast_keys)), "line-parities")
+    drop_staged(keys)
+    release_shuffles(spark)
+    # the signatures have told all they can; the bounds are sharper
+    full = like.select("part", "k", "comp").join(parities, "k")
+    pairs = full.join(_other(full), "part").where((F.col("k") < F.col("k2")) & differ & _near())
+    pairs = stage_table(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct(), "line-pairs")
+    drop_staged(like, parities)
+    return pairs
+
+
 def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
     """(node, component) of distinct lines that are near duplicates of others."""
     spark = docs.sparkSession
@@ -139,14 +231,14 @@ def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
             at = members.withColumn("comp", F.col("k"))
         else:
             at = members.join(joined, members["k"] == joined["node"], "left").select(
-                "bucket", "k", F.coalesce("component", "k").alias("comp"))
+                "bucket", "band", "k", F.coalesce("component", "k").alias("comp"))
         open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
             F.struct(F.col("k").alias("k2"), F.col("comp").alias("comp2")), F.xxhash64("k", F.lit(turn))).alias("hub")).where("lo < hi")
         rest = at.join(open_.select("bucket", "hub.*"), "bucket")
         if turn:
             # components only grow together: a bucket that is one by now stays one, and is left out of the next turns
             rest, old = stage_table(rest, "line-rest"), members
-            members = rest.select("bucket", "k")
+            members = rest.select("bucket", "band", "k")
             drop_staged(old)
             release_shuffles(spark)
         if turn < HUB_ROUNDS:
@@ -154,16 +246,12 @@ def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
                 F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
             pairs = pairs.join(signatures.select(F.col("k").alias("a"), *(F.col(f"s{w}").alias(f"x{w}") for w in range(WORDS))), "a").join(
                 signatures.select(F.col("k").alias("b"), *(F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS))), "b")
-            pairs = pairs.where(_alike("x", "y")).select("a", "b")
+            pairs = stage_table(pairs.where(_alike("x", "y")).select("a", "b"), "line-pairs")
         else:
-            signed = stage_table(rest.select("bucket", "k", "comp").join(signatures, "k"), "line-signed")
+            signed = stage_table(rest.select("bucket", "band", "k", "comp").join(signatures, "k"), "line-signed")
             drop_staged(rest, signatures)
-            other = signed.select("bucket", F.col("k").alias("k2"), F.col("comp").alias("comp2"), *(
-                F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS)))
-            pairs = signed.join(other, "bucket").where((F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & _alike("s", "y"))
-            pairs = pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
-        pairs = stage_table(pairs, "line-pairs")
-        if turn == HUB_ROUNDS:
+            release_shuffles(spark)
+            pairs = _apart_pairs(signed, docs, broadcast_keys)
             drop_staged(signed)
         release_shuffles(spark)
         new = _linked(pairs, docs, broadcast_keys)

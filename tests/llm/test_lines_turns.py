@@ -54,6 +54,7 @@ def test_lines_alike_but_no_near_copies_make_no_pairs(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(L, "stage_table", staged)
+    monkeypatch.setattr(L, "WHOLE", 64)
     joined = {r["node"]: r["component"] for r in L.line_components(docs, L.BROADCAST_KEYS).collect()}
     assert made["line-signed"] > L.WHOLE and made["line-pairs"] < len(lines)  # of the last turn
     key = dict(enumerate(r["k"] for r in docs.orderBy("doc_id").select(F.xxhash64("text").alias("k")).collect()))

@@ -51,7 +51,7 @@ WORDS = GROUPS            # of the packed signature, a byte a value
 LOW = (1 << 32) - 1
 MULTIPLIERS = (1640531527, 1190494759, 2146121005)  # odd: hash * multiplier modulo 2^32 is a permutation; below 2^31: no product overflows
 AGREE = 11
-WHOLE = 64               # lines of a bucket compared without dealing it further
+WHOLE = 1000             # lines of a bucket compared without dealing it further
 PARITY = 16              # 64-bit words
 HUB_ROUNDS = 2
 OWN = "__line_dedup_"    # of the columns that meet the caller's

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textlab.llm.components import components
 from textlab.llm.hashing import runs_of, shingle_sets
-from textlab.session import stage_table
+from textlab.session import small_batches, stage_table
 
 ROWS, BANDS = 5, 25      # 125 minima; at similarity 0.8 a pair misses every band once in 20,000 times, at 0.85 once in 2.5 million
 BITS = 2                 # low bits kept of each minimum for the estimate
@@ -208,10 +208,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple = (80, 100)) -
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     number = F.col("doc_id").cast("bigint").alias("doc_id")
     # ids travel through pandas as strings: numbers with nulls among them would turn into floats
-    sketch = stage_table(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        _sketch_batches(words),
-        "doc_id string, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, bands array<bigint>").select(
-        number, "n_shingles", "f1", "f2", "sig", "bands"), "sketch")
+    with small_batches(docs.sparkSession):
+        sketch = stage_table(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+            _sketch_batches(words),
+            "doc_id string, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, bands array<bigint>").select(
+            number, "n_shingles", "f1", "f2", "sig", "bands"), "sketch")
     known = sketch.where("doc_id is not null and n_shingles > 0")
     # classes of equal sets; all columns but the id are equal within a class
     classes = stage_table(known.groupBy("f1", "f2").agg(
@@ -222,12 +223,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple = (80, 100)) -
     members = stage_table(bucket.join(shared, "key"), "members")
     wanted = members.select("cid").distinct()
     reps = classes.join(wanted, "cid", "left_semi")
-    sets = stage_table(
-        _only(docs, wanted.withColumnRenamed("cid", "doc_id")).mapInPandas(  # no null ids here
-            _set_batches(words), "doc_id bigint, f1 bigint, f2 bigint, items array<bigint>").join(
-            reps.select(F.col("cid").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").select(
-            F.col("doc_id").alias("cid"), "f1", "f2", "items").dropDuplicates(["cid", "f1", "f2"]).drop(
-            "f1", "f2"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = stage_table(
+            _only(docs, wanted.withColumnRenamed("cid", "doc_id")).mapInPandas(  # no null ids here
+                _set_batches(words), "doc_id bigint, f1 bigint, f2 bigint, items array<bigint>").join(
+                reps.select(F.col("cid").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").select(
+                F.col("doc_id").alias("cid"), "f1", "f2", "items").dropDuplicates(["cid", "f1", "f2"]).drop(
+                "f1", "f2"), "sets")
     bits = reps.select("cid", "n", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:

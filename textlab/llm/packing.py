@@ -36,7 +36,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.session import stage_table
+from textlab.session import small_batches, stage_table
 from textlab.worker import worker_object
 
 LONGEST = 1024
@@ -150,7 +150,8 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> Dat
     schema = ("doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, rank bigint, file string, first bigint"
               + (", ids array<int>" if with_ids else ""))
     run = ["length", "file", "first"]
-    pieces = stage_table(_placed(docs).mapInPandas(_cut_batches(path, with_ids), schema), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stage_table(_placed(docs).mapInPandas(_cut_batches(path, with_ids), schema), "pieces")
     counts = pieces.groupBy(*run).agg(F.count(F.lit(1)).alias("n"))
     number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("bigint")
     before = Window.partitionBy("length").orderBy(number, "file", "first").rowsBetween(Window.unboundedPreceding, -1)

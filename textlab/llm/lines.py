@@ -12,15 +12,17 @@ links gives components, and the first line by (doc_id, line number) of each
 stays.
 
 Equal lines count once from the start (grouped by hash before any band is
-made). In a bucket every line is compared with one hub, in ``HUB_ROUNDS``
-rounds, only while the two are in different components; what is still apart
-then is compared in full. Of two lines to be compared, first the signatures are (a
+made). A bucket of more than ``WHOLE`` lines is dealt by ten pairs of the values
+outside its band: two lines at the threshold agree in none of them four times
+in 100,000. Of two lines to be compared, first the signatures are (a
 byte of each value): at the threshold 19 of ``ROWS * BANDS`` agree on average, and fewer
-than ``AGREE`` once in 10,000 pairs, which are then not compared further.
+than ``AGREE`` once in 10,000 pairs, which are then not compared further. Lines whose signature
+is like that of no other line of the bucket leave it before anything else, which are
+nearly all, so that the turns below work on few rows and one table of texts.
 
-For the full comparison a bucket of more than ``WHOLE`` lines is dealt by ten
-pairs of the values outside its band: two lines at the threshold agree in none
-of them four times in 100,000. Lines that are like none of another component leave. For the
+In a bucket every line is compared with one hub, in ``HUB_ROUNDS``
+rounds, only while the two are in different components; what is still apart
+then is compared in full. For that, lines that are like none of another component leave. For the
 others the size of the shingle set and its parities (``PARITY`` words; a
 shingle flips one bit) are counted, which bound the similarity exactly: sets
 that differ in d shingles differ in at most d bits. Only pairs that the bounds leave are written and confirmed, so lines
@@ -97,19 +99,19 @@ def _banded(docs: DataFrame) -> DataFrame:
         word = word.bitwiseOR(F.shiftleft(F.xxhash64(f"m{at}").bitwiseAND(F.lit(255)), 8 * at))
     # the values of the group's two bands take turns
     parts = ends.select("k", "g", *(F.xxhash64("g", F.lit(j), *(f"m{j + 2 * r}" for r in range(ROWS))).alias(f"b{j}") for j in range(2)),
-                        word.alias("s"))
+                        word.alias("s")).repartition("k")  # narrower than the rows of the next grouping
     of = lambda column, g: F.max(F.when(F.col("g") == g, F.col(column)))
     return parts.groupBy("k").agg(*(of(f"b{b % 2}", b // 2).alias(f"b{b}") for b in range(BANDS)),
                                   *(F.coalesce(of("s", w), F.lit(0)).alias(f"s{w}") for w in range(WORDS)))
 
 
 def _bucketed(banded: DataFrame) -> DataFrame:
-    """(bucket, band, k) for every band of every distinct line that shares it with another line."""
+    """(bucket, band, large, k) for every band of every distinct line that shares it with another line; ``large``: with more than ``WHOLE`` lines."""
     dealt = banded.select("k", F.posexplode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band", "bucket")).where(
         "bucket is not null").repartition("bucket")
     # the same shuffle serves the grouping and the join (a semi join would be moved below it, and shuffle again)
-    shared = dealt.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("bucket")
-    return dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "band", "k")
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (F.col("n") > WHOLE).alias("large"))
+    return dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "band", "large", "k")
 
 
 def _small(rows: DataFrame, broadcast_keys: int) -> DataFrame:
@@ -127,18 +129,18 @@ def _alike(x: str, y: str):
     return same >= AGREE
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, broadcast_keys: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, broadcast_keys: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. Only the texts of
     lines in a pair are gathered, not their shingles, which are many times as large."""
     num, den = SHARE
     wanted = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "line-keys")
-    texts = stage_table(_texts(docs, wanted, broadcast_keys), "line-texts")
+    texts = texts.join(_small(wanted, broadcast_keys), "k", "left_semi")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("k").alias("b"), F.col("line").alias("lb")), "b")
     sets = both.select("a", "b", _hashes("la").alias("ha"), _hashes("lb").alias("hb"))
     sized = sets.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("m"), (F.size("ha") + F.size("hb")).alias("t"))
     out = stage_table(sized.where(F.col("m") * den >= (F.col("t") - F.col("m")) * num).select("a", "b"), "line-links")
-    drop_staged(wanted, texts)
+    drop_staged(wanted)
     return out
 
 
@@ -148,17 +150,22 @@ def _sign(band: int, row: int):
 
 
 def _dealt(signed: DataFrame) -> DataFrame:
-    """``signed`` with (part) for (bucket, band): small buckets are one part; of a larger one's parts, each is
-    the lines that also agree in two values outside the band. Parts that are one component are left out."""
-    names = ["k", "comp", *(f"s{w}" for w in range(WORDS))]
-    counted = signed.join(signed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    """(bucket, k, s0, s1, ...): small buckets as they are; in place of a large one its parts, each the
+    lines that also agree in two values outside the band."""
     two = [F.when(F.col("band") != b, F.xxhash64("bucket", F.lit(b), _sign(b, 0), _sign(b, 1))) for b in range(BANDS)]
     two += [F.when(F.expr(f"band div 2 != {g}"), F.xxhash64("bucket", F.lit(BANDS + g), _sign(2 * g, 2), _sign(2 * g + 1, 2)))
             for g in range(GROUPS)]
-    parts = F.when(F.col("n") <= WHOLE, F.array("bucket")).otherwise(F.array_compact(F.array(*two)))
-    dealt = counted.select(F.explode(parts).alias("part"), *names).repartition("part")
-    apart = dealt.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("part")
-    return dealt.join(apart.hint("shuffle_hash"), "part").select("part", *names)
+    parts = F.when(F.col("large"), F.array_compact(F.array(*two))).otherwise(F.array("bucket"))
+    return signed.select(F.explode(parts).alias("bucket"), "k", *(f"s{w}" for w in range(WORDS)))
+
+
+def _with_partner(signed: DataFrame) -> DataFrame:
+    """The rows of ``_dealt`` whose signature is like that of another line of the bucket. A line of many near
+    copies meets one at once, so the search is long only for lines that are like none."""
+    dealt = _dealt(signed)
+    # no column is renamed, so that one shuffle serves both sides
+    return dealt.alias("a").join(dealt.alias("b"), (F.col("a.bucket") == F.col("b.bucket"))
+                                 & (F.col("a.k") != F.col("b.k")) & _alike("a.s", "b.s"), "left_semi")
 
 
 def _other(rows: DataFrame) -> DataFrame:
@@ -192,23 +199,20 @@ def _near():
     return sizes & (flips * (den + num) <= (F.col("n") + F.col("n2")) * (den - num))
 
 
-def _apart_pairs(signed: DataFrame, docs: DataFrame, broadcast_keys: int) -> DataFrame:
+def _apart_pairs(rest: DataFrame, texts: DataFrame, broadcast_keys: int) -> DataFrame:
     """(a, b), staged: pairs of lines of a bucket and of different components that may be near copies."""
-    spark = signed.sparkSession
-    dealt = stage_table(_dealt(signed), "line-dealt")
-    release_shuffles(spark)
+    spark = rest.sparkSession
     differ = F.col("comp") != F.col("comp2")
-    like = stage_table(dealt.join(_other(dealt).withColumnRenamed("part", "part2"),
-                                  (F.col("part") == F.col("part2")) & differ & _alike("s", "y"), "left_semi"), "line-like")
-    drop_staged(dealt)
+    like = stage_table(rest.join(_other(rest).withColumnRenamed("bucket", "bucket2"),
+                                 (F.col("bucket") == F.col("bucket2")) & differ & _alike("s", "y"), "left_semi"), "line-like")
     release_shuffles(spark)
     keys = stage_table(like.select("k").distinct(), "line-keys")
-    parities = stage_table(_parities(_texts(docs, keys, broadcast_keys)), "line-parities")
+    parities = stage_table(_parities(texts.join(_small(keys, broadcast_keys), "k", "left_semi")), "line-parities")
     drop_staged(keys)
     release_shuffles(spark)
     # the signatures have told all they can; the bounds are sharper
-    full = like.select("part", "k", "comp").join(parities, "k")
-    pairs = full.join(_other(full), "part").where((F.col("k") < F.col("k2")) & differ & _near())
+    full = like.select("bucket", "k", "comp").join(parities, "k")
+    pairs = full.join(_other(full), "bucket").where((F.col("k") < F.col("k2")) & differ & _near())
     pairs = stage_table(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct(), "line-pairs")
     drop_staged(like, parities)
     return pairs
@@ -217,13 +221,20 @@ def _apart_pairs(signed: DataFrame, docs: DataFrame, broadcast_keys: int) -> Dat
 def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
     """(node, component) of distinct lines that are near duplicates of others."""
     spark = docs.sparkSession
+    words = [f"s{w}" for w in range(WORDS)]
     banded = stage_table(_banded(docs), "line-bands")
     release_shuffles(spark)
-    members = stage_table(_bucketed(banded), "line-buckets")
+    buckets = stage_table(_bucketed(banded), "line-buckets")
     release_shuffles(spark)
-    signatures = stage_table(banded.join(members.select("k").distinct(), "k", "left_semi").select(
-        "k", *(f"s{w}" for w in range(WORDS))), "line-signatures")
-    drop_staged(banded)
+    signed = stage_table(buckets.join(banded.select("k", *words), "k"), "line-signed")
+    drop_staged(banded, buckets)
+    release_shuffles(spark)
+    members = stage_table(_with_partner(signed), "line-members")
+    drop_staged(signed)
+    release_shuffles(spark)
+    keys = stage_table(members.select("k").distinct(), "line-keys")
+    texts = stage_table(_texts(docs, keys, broadcast_keys), "line-texts")
+    drop_staged(keys)
     release_shuffles(spark)
     links, joined = None, None
     for turn in range(HUB_ROUNDS + 1):
@@ -231,30 +242,25 @@ def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
             at = members.withColumn("comp", F.col("k"))
         else:
             at = members.join(joined, members["k"] == joined["node"], "left").select(
-                "bucket", "band", "k", F.coalesce("component", "k").alias("comp"))
+                "bucket", "k", F.coalesce("component", "k").alias("comp"), *words)
+        hub = F.struct(F.col("k").alias("k2"), F.col("comp").alias("comp2"), *(F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS)))
         open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
-            F.struct(F.col("k").alias("k2"), F.col("comp").alias("comp2")), F.xxhash64("k", F.lit(turn))).alias("hub")).where("lo < hi")
+            hub, F.xxhash64("k", F.lit(turn))).alias("hub")).where("lo < hi")
         rest = at.join(open_.select("bucket", "hub.*"), "bucket")
         if turn:
             # components only grow together: a bucket that is one by now stays one, and is left out of the next turns
             rest, old = stage_table(rest, "line-rest"), members
-            members = rest.select("bucket", "band", "k")
+            members = rest.select("bucket", "k", *words)
             drop_staged(old)
             release_shuffles(spark)
         if turn < HUB_ROUNDS:
-            pairs = rest.where(F.col("comp") != F.col("comp2")).select(
-                F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-            pairs = pairs.join(signatures.select(F.col("k").alias("a"), *(F.col(f"s{w}").alias(f"x{w}") for w in range(WORDS))), "a").join(
-                signatures.select(F.col("k").alias("b"), *(F.col(f"s{w}").alias(f"y{w}") for w in range(WORDS))), "b")
-            pairs = stage_table(pairs.where(_alike("x", "y")).select("a", "b"), "line-pairs")
+            pairs = stage_table(rest.where((F.col("comp") != F.col("comp2")) & _alike("s", "y")).select(
+                F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct(), "line-pairs")
         else:
-            signed = stage_table(rest.select("bucket", "band", "k", "comp").join(signatures, "k"), "line-signed")
-            drop_staged(rest, signatures)
-            release_shuffles(spark)
-            pairs = _apart_pairs(signed, docs, broadcast_keys)
-            drop_staged(signed)
+            pairs = _apart_pairs(rest.select("bucket", "k", "comp", *words), texts, broadcast_keys)
+            drop_staged(rest)
         release_shuffles(spark)
-        new = _linked(pairs, docs, broadcast_keys)
+        new = _linked(pairs, texts, broadcast_keys)
         drop_staged(pairs)
         release_shuffles(spark)
         links = new if links is None else links.union(new)
@@ -262,7 +268,7 @@ def line_components(docs: DataFrame, broadcast_keys: int) -> DataFrame:
         if old is not None:
             drop_staged(old)
         release_shuffles(spark)
-    drop_staged(links)
+    drop_staged(links, texts)
     return joined
 
 

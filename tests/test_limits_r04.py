@@ -22,3 +22,58 @@ def test_scan_holds_no_gates_of_all_steps(kind):
     tracemalloc.stop()
     assert np.array_equal(want, got)
     assert most < rows * steps * R.GATES[kind] * hidden * 8
+
+
+def test_nearest_two_holds_one_table_in_single_precision():
+    from textlab.operators import sweep as SW
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(700, 8)), rng.normal(size=(900, 8))
+    d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(-1))
+    tracemalloc.start()
+    best, first, second = SW.nearest_two(x, c)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < SW.ROWS_AT_A_TIME * len(c) * 8
+    assert (best == d.argmin(axis=1)).all() and np.allclose(first, d.min(axis=1))
+    assert (second <= np.sort(d, axis=1)[:, 1]).all() and np.allclose(second, np.sort(d, axis=1)[:, 1], atol=1e-3)
+
+
+@pytest.mark.parametrize("shift,size", [(0.0, 1e-30), (0.0, 1e25), (1e7, 1.0), (-3e5, 0.01)])
+def test_nearest_two_far_from_zero_and_of_any_size(shift, size):
+    """Single precision finds the candidates only: the nearest is that of double precision, the first of equals."""
+    from textlab.operators import sweep as SW
+    rng = np.random.default_rng(4)
+    c = shift + size * rng.normal(size=(60, 5))
+    c[41] = c[7]
+    x = np.concatenate([shift + size * rng.normal(size=(200, 5)), c, (c[:20] + c[20:40]) / 2, c[:1] * 0 + shift])
+    d = ((x[:, None] - c[None]) ** 2).sum(-1)
+    best, first, second = SW.nearest_two(x, c)
+    assert (best == d.argmin(axis=1)).all() and np.array_equal(first, np.sqrt(d.min(axis=1)))
+    assert (second <= np.sqrt(np.sort(d, axis=1)[:, 1]) * (1 + 1e-9)).all()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_sweep_carries_bytes(spark, monkeypatch, kind):
+    """The rows that a pass writes have no arrays of numbers; a vector keeps its kind, a null target stays null."""
+    from textlab.operators import sweep as SW
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"k{i}", [float(v) for v in r], i % 2 if i % 7 else None) for i, r in enumerate(rng.normal(size=(90, 3)))],
+                               f"id string, vec array<{kind}>, target int")
+    made, path = [], SW.scratch_path
+    monkeypatch.setattr(SW, "drop_path", lambda *_: None)
+    monkeypatch.setattr(SW, "scratch_path", lambda s, what: (made.append(path(s, what)), made[-1])[1])
+    assigned, centres, passes = SW.lloyd_sweep(df, [2, 5], seed=2)
+    x = np.array([r["vec"] for r in df.collect()])
+    rows = {r["id"]: r for r in assigned.collect()}
+    assert len(rows) == 90 and rows["k7"]["target"] is None and rows["k8"]["target"] == 0
+    for j, c in enumerate(centres):
+        assert [rows[f"k{i}"]["a"][j] for i in range(90)] == ((x[:, None] - c[None]) ** 2).sum(-1).argmin(axis=1).tolist()
+    types = dict(spark.read.parquet(made[-1]).dtypes)
+    assert not any(t.startswith("array") for t in types.values()), types
+    assert {len(r["x"]) for r in spark.read.parquet(made[-1]).where("x is not null").collect()} == {3 * (4 if kind == "float" else 8)}
+
+
+def test_others_drift():
+    from textlab.operators import sweep as SW
+    assert SW.others_drift(np.array([1.0, 5.0, 2.0])).tolist() == [5, 2, 5]
+    assert SW.others_drift(np.array([4.0])).tolist() == [0] and SW.others_drift(np.array([3.0, 3.0])).tolist() == [3, 3]

@@ -38,7 +38,8 @@ TASK_ROWS = 50_000               # rows of a task, at most on average
 SLACK = 1e-9                     # relative rounding that a bound allows for
 
 ROW = "task int, which int, cluster int, n bigint, moved bigint, total array<double>"
-STATE = "x array<double>, a array<int>, u array<double>, l array<double>"
+STATE = "x binary, s binary"     # a row's vector; clusters, upper and lower bounds under all counts. Bytes, as a number in an array costs the JVM a call
+PART = {"task": pa.int32(), "which": pa.int32(), "cluster": pa.int32(), "part": pa.binary()}  # sums of a task's rows: ``GROUP`` clusters a row
 
 
 def _matrix(column, kind=np.float64) -> np.ndarray:
@@ -50,83 +51,147 @@ def _lists(m: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().astype(kind)))
 
 
+def _bytes(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * (m.itemsize * m.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(m))])
+
+
+def _from_bytes(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _pack_state(a: np.ndarray, u: np.ndarray, low: np.ndarray) -> pa.Array:
+    raw = [np.ascontiguousarray(m.T, kind).view(np.uint8) for m, kind in ((a, np.int32), (u, np.float64), (low, np.float64))]
+    return _bytes(np.concatenate(raw, axis=1))
+
+
+def _state(column, counts: int):
+    """Clusters and bounds of :func:`_pack_state`, a line per count."""
+    raw = _from_bytes(column, np.uint8)
+    cut = [0, 4 * counts, 12 * counts, 20 * counts]
+    return [np.ascontiguousarray(raw[:, i:j]).view(kind).T.copy() for i, j, kind in zip(cut, cut[1:], (np.int32, np.float64, np.float64))]
+
+
 def nearest_two(x: np.ndarray, c: np.ndarray):
     """Per row the nearest centre (ties: smaller number), its distance, and a
-    lower bound of the distance to all others. Distances come from a matrix
-    product; of centres within its rounding error the nearest is found exactly."""
+    lower bound of the distance to all others. A matrix product in single precision, of rows and
+    centres moved to the centres' mean and scaled, leaves the centres that may be nearest within its error (``(d + 8) * 2^-23`` of the
+    square of the norms' sum, twice what its products, sums and rounded inputs can be off); of several the nearest is found in double precision."""
     best, first, second = np.zeros(len(x), np.int64), np.zeros(len(x)), np.full(len(x), np.inf)
-    square = np.einsum("ij,ij->i", c, c)
-    for at in range(0, len(x), ROWS_AT_A_TIME):
-        part = x[at: at + ROWS_AT_A_TIME]
-        d2 = np.einsum("ij,ij->i", part, part)[:, None] - 2.0 * part @ c.T + square[None, :]
-        error = SLACK * (1.0 + np.abs(d2).max(initial=0.0))
-        close = d2 <= (d2.min(axis=1) + error)[:, None]
+    if not len(x):
+        return best, first, second
+    k, d = c.shape
+    mean = c.mean(axis=0)
+    off = c - mean
+    most = np.sqrt(np.einsum("ij,ij->i", off, off).max())
+    at_once = max(1, min(ROWS_AT_A_TIME, len(x)))
+    held, ones = np.empty((at_once, k), np.float32), np.ones((at_once, d + 1), np.float32)
+    for at in range(0, len(x), at_once):
+        part = x[at: at + at_once]
+        n = len(part)
+        rows, moved = np.arange(n), part - mean
+        norm = np.einsum("ij,ij->i", moved, moved)
+        scale = max(most, np.sqrt(norm.max())) or 1.0
+        error = (d + 8) * 2.0 ** -23 * (np.sqrt(norm) + most) ** 2
+        ones[:n, :d] = moved / scale
+        weights = np.concatenate([off.T * (-2.0 / scale), (np.einsum("ij,ij->i", off, off) / scale ** 2)[None, :]]).astype(np.float32)
+        d2 = np.matmul(ones[:n], weights, out=held[:n])   # less the row's own square, in units of scale^2
         own = d2.argmin(axis=1)
-        tied = np.flatnonzero(close.sum(axis=1) > 1)
-        left = close[tied]                        # candidates of these rows, the nearest so far, its distance
+        low = d2[rows, own].astype(np.float64)
+        d2[rows, own] = np.inf
+        other = d2.min(axis=1).astype(np.float64)
+        room = 2.0 * error / scale ** 2
+        tied = np.flatnonzero(~(other - low > room))
+        d2[tied, own[tied]] = low[tied]
+        left = d2[tied] <= (low + room)[tied][:, None]  # candidates of these rows, the nearest so far, its distance
         nearest = np.full(len(tied), np.inf)
         while left.any():                         # one more candidate of every such row, smaller numbers first
             which, some = np.flatnonzero(left.any(axis=1)), left.argmax(axis=1)
             some = some[which]
             left[which, some] = False
-            off = ((c[some] - part[tied[which]]) ** 2).sum(axis=1)
-            better = off < nearest[which]
-            own[tied[which[better]]], nearest[which[better]] = some[better], off[better]
-        rows = np.arange(len(part))
-        d2[rows, own] = np.inf
-        s = slice(at, at + len(part))
+            apart = ((c[some] - part[tied[which]]) ** 2).sum(axis=1)
+            better = apart < nearest[which]
+            own[tied[which[better]]], nearest[which[better]] = some[better], apart[better]
+        s = slice(at, at + n)
         best[s], first[s] = own, np.sqrt(((part - c[own]) ** 2).sum(axis=1))
-        if len(c) > 1:
-            second[s] = np.sqrt(np.maximum(d2.min(axis=1) - error, 0.0))
+        if k > 1:
+            other[tied] = low[tied]               # whichever of them is the nearest, the others are no nearer than this
+            second[s] = np.sqrt(np.maximum(other * scale ** 2 + norm - error, 0.0))
     return best, first, second
 
 
-def _step(shared, first: bool):
-    """One Lloyd pass. ``shared``: centres, how far each moved, half the distance to the nearest other centre, and whether the count is open."""
+def _step(shared, first: bool, kind):
+    """One Lloyd pass. ``shared``: centres, how far each moved, half the distance to the nearest other centre, and whether the count is open;
+    ``kind``: of the vectors' numbers."""
     def run(batches):
         task = TaskContext.get().partitionId()
         centres, drift, gap, open_ = shared.value
         total = [np.zeros_like(c) for c in centres]
         size = [np.zeros(len(c), np.int64) for c in centres]
         moved = np.zeros(len(centres), np.int64)
+        slip = [others_drift(d) for d in drift]
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            x = _matrix(b.column("x"))
-            a = np.full((n, len(centres)), -1, np.int32) if first else _matrix(b.column("a"), np.int32).copy()
-            u = np.zeros(a.shape) if first else _matrix(b.column("u")).copy()
-            low = np.zeros(a.shape) if first else _matrix(b.column("l")).copy()
+            x = _matrix(b.column("x")) if first else _from_bytes(b.column("x"), kind).astype(np.float64)
+            if first:
+                a, u, low = np.full((len(centres), n), -1, np.int32), np.zeros((len(centres), n)), np.zeros((len(centres), n))
+            else:
+                a, u, low = _state(b.column("s"), len(centres))
             for j, c in enumerate(centres):
                 if not first and not open_[j]:
                     continue
                 if first:
                     again = np.arange(n)
                 else:
-                    u[:, j] += drift[j][a[:, j]] * (1 + SLACK)
-                    low[:, j] -= drift[j].max(initial=0.0) * (1 + SLACK)
-                    again = np.flatnonzero(u[:, j] * (1 + SLACK) >= np.maximum(low[:, j], gap[j][a[:, j]]))
+                    u[j] += drift[j][a[j]] * (1 + SLACK)
+                    low[j] -= slip[j][a[j]] * (1 + SLACK)
+                    again = np.flatnonzero(u[j] * (1 + SLACK) >= np.maximum(low[j], gap[j][a[j]]))
                     # the true distance to the own centre may be enough
-                    u[again, j] = np.sqrt(((x[again] - c[a[again, j]]) ** 2).sum(axis=1))
-                    again = again[u[again, j] * (1 + SLACK) >= np.maximum(low[again, j], gap[j][a[again, j]])]
+                    u[j, again] = np.sqrt(((x[again] - c[a[j, again]]) ** 2).sum(axis=1))
+                    again = again[u[j, again] * (1 + SLACK) >= np.maximum(low[j, again], gap[j][a[j, again]])]
                 if len(again):
-                    best, u[again, j], low[again, j] = nearest_two(x[again], c)
-                    moved[j] += int((best != a[again, j]).sum())
-                    a[again, j] = best
-                used, n_used, sums = sums_by(a[:, j], x)
+                    best, u[j, again], low[j, again] = nearest_two(x[again], c)
+                    moved[j] += int((best != a[j, again]).sum())
+                    a[j, again] = best
+                used, n_used, sums = sums_by(a[j], x)
                 total[j][used] += sums
                 size[j][used] += n_used
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in ("id", "target")), b.column("x"), _lists(a, np.int32), _lists(u, np.float64), _lists(low, np.float64),
-                 *(pa.nulls(n, t) for t in KINDS.values())], ["id", "target", "x", "a", "u", "l", *KINDS])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("target"), _bytes(x.astype(kind)), _pack_state(a, u, low),
+                                              *(pa.nulls(n, t) for t in PART.values())], ["id", "target", "x", "s", *PART])
         for j, c in enumerate(centres):
             used = np.flatnonzero(size[j])
             if len(used) and (first or open_[j]):
-                k = len(used)
-                yield _sums(task, j, used, size[j][used], np.where(np.arange(k) == 0, moved[j], 0), total[j][used])
+                yield _parts(_sums(task, j, used, size[j][used], np.where(np.arange(len(used)) == 0, moved[j], 0), total[j][used]))
     return run
 
 
+def _parts(sums: pa.RecordBatch) -> pa.RecordBatch:
+    """A count's sums, a row per group of clusters."""
+    group = sums.column("cluster").to_numpy() // GROUP
+    cut = [*np.unique(group, return_index=True)[1], len(group)]
+    rows = [{"task": sums.column("task")[i].as_py(), "which": sums.column("which")[i].as_py(), "cluster": int(group[i]) * GROUP,
+             "part": sums.slice(i, j - i).serialize().to_pybytes()} for i, j in zip(cut, cut[1:])]
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(PART.items())))
+
+
+def _add_parts(table: pa.Table) -> pa.Table:
+    schema = pa.schema(list(KINDS.items()))
+    return _add_up(pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(p), schema) for p in table.column("part").to_pylist()], schema))
+
+
+def others_drift(drift: np.ndarray) -> np.ndarray:
+    """Per centre how far any other one moved at most."""
+    if len(drift) < 2:
+        return np.zeros(len(drift))
+    top = drift.argmax()
+    out = np.full(len(drift), drift[top])
+    out[top] = np.delete(drift, top).max()
+    return out
+
+
 def sums_by(group: np.ndarray, x: np.ndarray):
     """The groups that occur, in order, with their numbers of rows and sums of rows (added in their order)."""
     order = np.argsort(group, kind="stable")
@@ -179,20 +244,21 @@ def lloyd_sweep(points: DataFrame, ks: list[int], seed: int = 0, key: str = "id"
     if not centres:
         return rows.select("id", "target", F.array().cast("array<int>").alias("a")), [], []
     idtype = rows.schema["id"].dataType.simpleString()
-    schema = f"id {idtype}, target int, {STATE}, {ROW}"
+    kind = np.float32 if points.schema[vec].dataType.simpleString() == "array<float>" else np.float64
+    schema = f"id {idtype}, target int, {STATE}, task int, which int, cluster int, part binary"
     state, path, passes, open_ = rows, None, [0] * len(ks), [True] * len(ks)
     drift, turn = [np.zeros(len(c)) for c in centres], 0
     while any(open_) and turn < max_iter:
         shared = spark.sparkContext.broadcast((centres, drift, [_half_gaps(c) for c in centres], open_))
         new = scratch_path(spark, "sweep")
-        state.mapInArrow(_rows_of(_step(shared, turn == 0), [part.split()[0] for part in schema.split(", ")]), schema).write.parquet(new)
+        state.mapInArrow(_rows_of(_step(shared, turn == 0, kind), [part.split()[0] for part in schema.split(", ")]), schema).write.parquet(new)
         both = spark.read.schema(schema).parquet(new)
-        sums = both.where("which is not null").select(*KINDS).groupBy("which", F.floor(F.col("cluster") / GROUP)).applyInArrow(_add_up, ROW)
+        sums = both.where("which is not null").select(*PART).groupBy("which", "cluster").applyInArrow(_add_parts, ROW)
         found = sums.toArrow().combine_chunks()  # a row per cluster
         which, cluster, n, moved = (found.column(c).to_numpy() for c in ("which", "cluster", "n", "moved"))
         total = found.column("total").combine_chunks()
         total = _matrix(total)
-        state = both.where("which is null").drop(*KINDS)
+        state = both.where("which is null").drop(*PART)
         if path:
             drop_path(spark, path)
         path, turn = new, turn + 1
@@ -209,27 +275,36 @@ def lloyd_sweep(points: DataFrame, ks: list[int], seed: int = 0, key: str = "id"
             empty = np.flatnonzero(~full)
             seeded = False
             if len(empty):
-                for e, x in zip(empty, _farthest(state, j, c, len(empty))):
+                for e, x in zip(empty, _farthest(state, j, len(ks), c, len(empty), kind)):
                     nxt[e], seeded = x, True
             open_[j] = seeded or moved[mine].sum() > 0
             drift[j] = np.sqrt(((nxt - c) ** 2).sum(axis=1))
             centres[j] = nxt
         shared.unpersist()
-    return state.select("id", "target", "a"), centres, passes
+    return _clusters(state, len(ks)), centres, passes
+
+
+def _clusters(state: DataFrame, counts: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                a = _state(b.column("s"), counts)[0]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("target"), _lists(a.T, np.int32)], ["id", "target", "a"])
+    return state.select("id", "target", "s").mapInArrow(run, f"id {state.schema['id'].dataType.simpleString()}, target int, a array<int>")
 
 
-def _farthest(state: DataFrame, j: int, c: np.ndarray, n: int) -> list[np.ndarray]:
+def _farthest(state: DataFrame, j: int, counts: int, c: np.ndarray, n: int, kind) -> list[np.ndarray]:
     """The n rows that lie farthest from the centre they were assigned to."""
     shared = state.sparkSession.sparkContext.broadcast(c)
 
     def run(batches):
         for b in batches:
-            x, a = _matrix(b.column("x")), _matrix(b.column("a"), np.int32)
-            if len(x):
-                off = np.sqrt(((x - shared.value[a[:, j]]) ** 2).sum(axis=1))
+            if b.num_rows:
+                x, a = _from_bytes(b.column("x"), kind).astype(np.float64), _state(b.column("s"), counts)[0]
+                off = np.sqrt(((x - shared.value[a[j]]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(off)], ["id", "x", "off"])
-    far = state.select("id", "x", "a").mapInArrow(run, f"id {state.schema['id'].dataType.simpleString()}, x array<double>, off double")
-    return [np.asarray(r["x"]) for r in far.where("off > 0").orderBy(F.col("off").desc(), "id").limit(n).collect()]
+    far = state.select("id", "x", "s").mapInArrow(run, f"id {state.schema['id'].dataType.simpleString()}, x binary, off double")
+    return [np.frombuffer(r["x"], kind).astype(np.float64) for r in far.where("off > 0").orderBy(F.col("off").desc(), "id").limit(n).collect()]
 
 
 def _rows_of(step, names):
@@ -241,7 +316,7 @@ def _rows_of(step, names):
                 empty = {f.name: f.type for f in b.schema}
                 yield b
             else:
-                yield pa.RecordBatch.from_arrays([b.column(n) if n in KINDS else pa.nulls(b.num_rows, empty[n]) for n in names], names)
+                yield pa.RecordBatch.from_arrays([b.column(n) if n in PART else pa.nulls(b.num_rows, empty[n]) for n in names], names)
     return run
 
 

@@ -109,8 +109,10 @@ def _bucketed(banded: DataFrame) -> DataFrame:
     """(bucket, band, large, k) for every band of every distinct line that shares it with another line; ``large``: with more than ``WHOLE`` lines."""
     dealt = banded.select("k", F.posexplode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band", "bucket")).where(
         "bucket is not null").repartition("bucket")
-    # the same shuffle serves the grouping and the join (a semi join would be moved below it, and shuffle again)
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (F.col("n") > WHOLE).alias("large"))
+    # the same shuffle serves the grouping and the join (a semi join would be moved below it, and shuffle again); it does
+    # only while both read the same columns, so the grouping takes k and the band too
+    shared = dealt.groupBy("bucket").agg(F.count("k").alias("n"), F.max("band").alias("last")).where("n > 1 and last >= 0").select(
+        "bucket", (F.col("n") > WHOLE).alias("large"))
     return dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "band", "large", "k")
 
 
@@ -150,13 +152,15 @@ def _sign(band: int, row: int):
 
 
 def _dealt(signed: DataFrame) -> DataFrame:
-    """(bucket, k, s0, s1, ...): small buckets as they are; in place of a large one its parts, each the
+    """(k, s0, s1, ..., bucket): small buckets as they are; in place of a large one its parts, each the
     lines that also agree in two values outside the band."""
     two = [F.when(F.col("band") != b, F.xxhash64("bucket", F.lit(b), _sign(b, 0), _sign(b, 1))) for b in range(BANDS)]
     two += [F.when(F.expr(f"band div 2 != {g}"), F.xxhash64("bucket", F.lit(BANDS + g), _sign(2 * g, 2), _sign(2 * g + 1, 2)))
             for g in range(GROUPS)]
-    parts = F.when(F.col("large"), F.array_compact(F.array(*two))).otherwise(F.array("bucket"))
-    return signed.select(F.explode(parts).alias("bucket"), "k", *(f"s{w}" for w in range(WORDS)))
+    # nulls (of the own band) leave as rows: a function with a lambda would keep plans from sharing a shuffle
+    parts = F.when(F.col("large"), F.array(*two)).otherwise(F.array("bucket"))
+    # the bucket last, as Spark has it after explode: a projection on one side alone would do so too
+    return signed.select("k", *(f"s{w}" for w in range(WORDS)), F.explode(parts).alias("bucket")).where("bucket is not null")
 
 
 def _with_partner(signed: DataFrame) -> DataFrame:

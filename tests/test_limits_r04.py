@@ -77,3 +77,16 @@ def test_others_drift():
     from textlab.operators import sweep as SW
     assert SW.others_drift(np.array([1.0, 5.0, 2.0])).tolist() == [5, 2, 5]
     assert SW.others_drift(np.array([4.0])).tolist() == [0] and SW.others_drift(np.array([3.0, 3.0])).tolist() == [3, 3]
+
+
+def test_a_fitted_model_is_sent_to_tasks_after_an_observation(spark):
+    """An observation makes the session one that cannot be serialized; a model's training summary holds the session."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    from textlab.operators import score as SC
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get == {"n": 3}
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(40)], "id long, vec array<double>, target int")
+    scored = SC.logistic_fit(5)(df, 0, "")(df, "id").collect()
+    assert all((r["score"] > 0.5) == (r["id"] % 2 == 1) for r in scored)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from textlab.llm.hashing import mix, runs_of, word_hashes
+from textlab.session import without_summary
 from textlab.worker import forget_worker_objects
 
 BUCKETS = 1 << 15
@@ -244,7 +245,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Qua
         seen = {(r["fold"], r["label"]): r["count"] for r in data.groupBy("fold", "label").count().collect()}
         if sum(seen.values()) < MIN_ROWS or not all(seen.get((f, y)) for f in (False, True) for y in (0.0, 1.0)):
             return None
-        fit = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(data.where("not fold"))
+        fit = without_summary(LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(data.where("not fold")))
         held = fit.transform(data.where("fold")).select("label", vector_to_array("rawPrediction")[1].alias("m")).collect()
     finally:
         data.unpersist()
